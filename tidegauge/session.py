@@ -20,7 +20,7 @@ _shipped: set[str] = set()
 def get_spark(app: str = "tidegauge", cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
     """A local session with the settings that the engine expects (UTC, AQE)."""
     n = partitions or (os.cpu_count() or 8 if cpus == "*" else int(cpus))
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
@@ -30,12 +30,14 @@ def get_spark(app: str = "tidegauge", cpus: int | str = "*", partitions: int | N
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it anywhere."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped or sc.master.startswith("local["):
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="tidegauge-")) / "tidegauge_pkg.zip"
@@ -79,4 +81,5 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided parquet tables."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
