@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import leakage, tokenizer
+from tidegauge.llm import leakage, tokenizer, toxicity
 from tidegauge.session import table
 
 
@@ -24,5 +24,13 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_offsets, p9_found, p9_reparameterised)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_rates)}
 ORACLES: dict[str, str] = {}
