@@ -81,8 +81,8 @@ def expanding_folds(df: DataFrame, n_splits: int = 5, embargo: int = 10, least:
     if n < least + n_splits:
         raise ValueError(f"{n} days are too few for {n_splits} splits")
     size = (n - least) // n_splits
-    folds = d.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"), (F.lit(least) + F.col("id") * size).alias("cut"))
-    j = d.crossJoin(F.broadcast(folds))  # n_splits rows
+    folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(least + i * size).alias("cut")) for i in range(n_splits)))
+    j = d.select(day, "pos", F.inline(folds))
     train = F.col("pos") <= F.col("cut")
     ends = j.groupBy("fold", "cut").agg(F.min(day).alias("train_start"), F.max(F.when(train, F.col(day))).alias("train_end"), F.count_if(train).alias("train_days"))
     ends = ends.withColumn("embargo_end", F.date_add("train_end", embargo))
@@ -159,7 +159,8 @@ def backtest(df: DataFrame, cal: Calendar, value: str, share: float = 0.9, lead:
     d = df.filter(F.col(value).isNotNull()).select(day, value)
     folds = leave_one_event_out(d, cal, lead=lead, least=least, day=day).select("event", "onset", "scoreable", "reason")
     if scope == "all":
-        thr = folds.select("event").crossJoin(F.broadcast(quiet_threshold(d, cal, value, share, day=day)))  # one row
+        one = quiet_threshold(d, cal, value, share, day=day)
+        thr = one.select(F.explode(F.array(*(F.lit(p.name) for p in cal))).alias("event"), "threshold", "n_quiet")
     else:
         quiet = ~inside(F.col(day), cal, 30)
         each = []
