@@ -144,4 +144,4 @@ def redact(text: Column, keep: int = 4) -> Column:
 
 def routes(text: Column) -> Column:
     """A pipe-separated list as an array without surrounding blanks; empty for null."""
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda x: x != ""))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(text, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
