@@ -110,7 +110,7 @@ def arm_radar(spark: SparkSession, d: str) -> DataFrame:
 def market_anomaly(spark: SparkSession, d: str, start: str | None = None, end: str | None = None) -> DataFrame:
     from tidegauge.plans import core_queries as q
 
-    return between(market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER), start, end).orderBy("date")
+    return between(market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER, buffer=20), start, end).orderBy("date")
 
 
 def predict_market(spark: SparkSession, d: str, as_of: str | None = None) -> DataFrame:
@@ -147,7 +147,7 @@ def models(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation of the market model."""
     from tidegauge.plans import core_queries as q
 
-    return market_model.evaluation(market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER))
+    return market_model.evaluation(market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER, buffer=20))
 
 
 def ports(spark: SparkSession, d: str) -> DataFrame:

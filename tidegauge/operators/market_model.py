@@ -2,7 +2,7 @@
 
 The contract is that of a variational sequence model: windows of 20 complete rows labelled by their last day; a window is
 contaminated if any of its days is near an event or in a declared shock; scaler, model and thresholds come from clean windows only;
-scores are deterministic. The default scorer is a linear autoencoder (principal components); any function of windows may take
+scores are deterministic; without clean windows they are null. The default scorer is a linear autoencoder (principal components); any function of windows may take
 its place.
 """
 
@@ -50,6 +50,9 @@ def scores(
     ``scorer(windows, clean)`` may replace the linear model: arrays (m, n, columns) of all windows and flags to errors.
     """
     w = windows(df, columns, cal, buffer, other, n)
+    if w.filter("clean").isEmpty():  # nothing to learn what is normal from
+        none = F.lit(None).cast("double")
+        return w.select("date", none.alias("recon_error"), "near_event", "declared_other", "clean", none.alias("p95"), none.alias("p99"))
     if scorer is not None:
         pdf = w.toPandas()  # one row a trading day of one panel
         e = scorer(np.array(pdf["window"].tolist()), pdf["clean"].to_numpy())

@@ -1,6 +1,6 @@
 """Points near other points: adaptive cell coverage, interior cells accepted by an equi-join, boundary cells tested exactly.
 
-Each site's circle is covered by quadtree cells over latitude and longitude. A cell wholly inside is interior: every point in
+Each site's circle is covered by quadtree cells over latitude and longitude. Rows near the poles have fewer, wider cells. A cell wholly inside is interior: every point in
 it is a match without a distance. A cell crossed by the border is split until the finest level; points in those few are
 tested with the haversine formula. Cell bounds come from the triangle inequality on the sphere, so they hold at the poles and
 across the antimeridian too; interior cells keep a margin that is far above rounding errors.
@@ -33,14 +33,24 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def _cell(coord: Column, low: float, span: float, level: int) -> Column:
+def columns_at(row: int, level: int) -> int:
+    """Cells along a row: 2^level, fewer (powers of two, about square cells) near the poles. Levels nest."""
     n = 1 << level
-    return F.least(F.floor((coord - low) / span * n), F.lit(n - 1)).cast("long")
+    from_pole = min(row + 1, n - row)
+    return min(n, 8 << (from_pole - 1).bit_length())
 
 
 def cell_key(lat: Column, lon: Column, level: int) -> Column:
     """The cell of a level (up to 24) that holds the point; the upper edges belong to the last cells."""
-    return F.lit(level).cast("long") * (1 << 50) + _cell(lat, -90.0, 180.0, level) * (1 << 25) + _cell(lon, -180.0, 360.0, level)
+    n = 1 << level
+    row = F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1)).cast("long")
+    wide = F.lit(n)
+    if level > 3:  # the same as columns_at; far from the poles only the first test runs
+        from_pole = F.least(row + 1, n - row)
+        bits = sum((F.when(from_pole > (1 << j), 1).otherwise(0) for j in range(level - 3)), F.lit(0))
+        wide = F.when(from_pole > (1 << (level - 4)), n).otherwise(F.lit(8) * F.pow(F.lit(2), bits).cast("long")).cast("long")
+    col = F.least(F.floor((lon + 180.0) / 360.0 * wide), wide - 1).cast("long")
+    return F.lit(level).cast("long") * (1 << 50) + row * (1 << 25) + col
 
 
 def levels_for(radius_km: float) -> list[int]:
@@ -57,7 +67,8 @@ def cover(lat: float, lon: float, radius_km: float, levels: list[int]) -> list[t
     la0 = math.radians(lat)
     while todo:
         level, i, j = todo.pop()
-        dlat, dlon = math.pi / (1 << level), 2 * math.pi / (1 << level)
+        columns = columns_at(i, level)
+        dlat, dlon = math.pi / (1 << level), 2 * math.pi / columns
         south = -math.pi / 2 + i * dlat
         mid, west = south + dlat / 2, -math.pi + j * dlon
         flattest = 1.0 if south < 0 < south + dlat else max(math.cos(south), math.cos(south + dlat))
@@ -70,7 +81,9 @@ def cover(lat: float, lon: float, radius_km: float, levels: list[int]) -> list[t
         if level in levels and (inside or level == levels[-1]):
             out.append(((level << 50) + (i << 25) + j, inside))
         else:
-            todo += [(level + 1, 2 * i + a, 2 * j + b) for a in (0, 1) for b in (0, 1)]
+            for row in (2 * i, 2 * i + 1):
+                split = columns_at(row, level + 1) // columns
+                todo += [(level + 1, row, split * j + b) for b in range(split)]
     return out
 
 

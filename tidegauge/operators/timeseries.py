@@ -129,7 +129,10 @@ def lag1_autocorrelation(df: DataFrame, value: str, least: int = 60, keys: Seque
     ``least`` values or where undefined (never suspect)."""
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     d = d.withColumn("__next", F.lead(value, 1).over(ordered(keys, by)))
-    agg = [F.count(F.lit(1)).alias("n"), F.corr(value, "__next").alias("c")]
+    both = lambda c: F.when(F.col("__next").isNotNull(), F.col(c))
+    # corr itself divides by zero for constant series
+    c = F.try_divide(F.covar_pop(both(value), "__next"), F.stddev_pop(both(value)) * F.stddev_pop("__next"))
+    agg = [F.count(F.lit(1)).alias("n"), c.alias("c")]
     g = d.groupBy(*keys).agg(*agg)
     c = F.when(F.col("n") >= least, clean(F.col("c")))
     return g.select(*keys, "n", c.alias("autocorr"), F.coalesce(F.abs(c) > 0.9999, F.lit(False)).alias("suspect"))

@@ -79,7 +79,7 @@ def pipeline_order(spark, d):
 
 @query()
 def anomaly_pca_scores(spark, d):
-    return market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER)
+    return market_model.scores(q.spread(spark, d), ["brent", "wti", "spread"], q.CAL, q.OTHER, buffer=20)
 
 
 @query()

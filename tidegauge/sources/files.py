@@ -33,10 +33,6 @@ class SchemaError(RuntimeError):
     """Raw rows that don't look like event rows."""
 
 
-def _fields(line: Column) -> DataFrame:
-    return F.split(line, "\t", -1)
-
-
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Raw event rows of tab-separated lines: too many fields drop the line, missing ones are null, quotes are ordinary."""
     d = lines.filter(F.length(column) > 0).select(F.split(column, "\t", -1).alias("f")).filter(F.size("f") <= len(EVENT_COLUMNS))
@@ -122,7 +118,7 @@ def parse_observations(df: DataFrame, column: str, series: Column) -> DataFrame:
     kind = "struct<observations: array<struct<date: string, value: string>>>"
     o = df.select(series.alias("series_id"), F.explode(F.from_json(column, kind)["observations"]).alias("o"))
     v = F.trim("o.value")
-    return o.filter(~v.isin(".", "")).select("series_id", F.try_to_date("o.date", F.lit("yyyy-MM-dd")).alias("date"), v.try_cast("double").alias("value")).filter("value is not null and date is not null")
+    return o.filter(~v.isin(".", "")).select("series_id", F.to_date(F.try_to_timestamp("o.date", F.lit("yyyy-MM-dd"))).alias("date"), v.try_cast("double").alias("value")).filter("value is not null and date is not null")
 
 
 AIS = """MessageType string, MetaData struct<MMSI: string, ShipName: string, latitude: double, longitude: double, time_utc: string>,

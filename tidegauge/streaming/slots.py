@@ -66,17 +66,23 @@ def run_slots(source: DataFrame, store: str, scores: str, checkpoint: str, key:
     return q
 
 
-def windowed_counts(source: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(slot, n): rows per publication slot with a watermark; rows later than ``late`` are left out."""
-    d = source.withColumn("at", ev.published().cast("timestamp")).filter("at is not null")
-    w = d.withWatermark("at", late).groupBy(F.window("at", ev.SLOT)).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(source: DataFrame, late: str = "1 hour", once_by: list[str] | None = None) -> DataFrame:
+    """(slot, n): rows per publication slot with a watermark; rows later than ``late`` are left out, and with ``once_by`` the
+    redeliveries of a row within it."""
+    d = _timed(source, late)
+    d = d.dropDuplicatesWithinWatermark(once_by) if once_by else d
+    w = d.groupBy(F.window("at", ev.SLOT)).agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").alias("slot"), "n")
 
 
 def deduplicated(source: DataFrame, late: str = "1 day", key: str = "GlobalEventID") -> DataFrame:
     """Rows without redeliveries within the watermark."""
+    return _timed(source, late).dropDuplicatesWithinWatermark([key, "DATEADDED"]).drop("at")
+
+
+def _timed(source: DataFrame, late: str) -> DataFrame:
     d = source.withColumn("at", ev.published().cast("timestamp")).filter("at is not null")
-    return d.withWatermark("at", late).dropDuplicatesWithinWatermark([key, "DATEADDED"]).drop("at")
+    return d.withWatermark("at", late)
 
 
 STATE = "first_seen timestamp, last_seen timestamp, n long, lat double, lon double, sog double, name string, destination string, draught double"
@@ -100,8 +106,9 @@ def _merge(old: tuple | None, pdf: pd.DataFrame) -> tuple:
     return (lo if first is None else min(first, lo), hi if last is None else max(last, hi), int(n) + len(pdf), *vals)
 
 
-def vessel_state(source: DataFrame, stall_s: int = 120) -> DataFrame:
-    """A stream of vessel records (``VESSEL``), one whenever a vessel is heard; and one with ``stalled`` after silence."""
+def vessel_state(source: DataFrame, stall_s: int = 120, late: str = "10 minutes") -> DataFrame:
+    """A stream of vessel records (``VESSEL``), one whenever a vessel is heard; and one with ``stalled`` once the others have gone
+    on for ``stall_s`` and ``late`` beyond its last ping. Time is event time, so a replay gives the same alarms."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = VESSEL.replace("string", "").split(", ")
@@ -115,11 +122,13 @@ def vessel_state(source: DataFrame, stall_s: int = 120) -> DataFrame:
         for b in batches:
             rec = _merge(rec, b)
         state.update(rec)
-        state.setTimeoutDuration(stall_s * 1000)
+        seen = int(pd.Timestamp(rec[1]).timestamp() * 1000) if rec[1] is not None else 0
+        state.setTimeoutTimestamp(max(seen + stall_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *rec, False)], columns=cols)
 
     d = source.filter("mmsi is not null").withColumn("ts_utc", F.col("ts_utc").cast("timestamp"))
-    return d.groupBy("mmsi").applyInPandasWithState(update, VESSEL, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    d = d.withWatermark("ts_utc", late)
+    return d.groupBy("mmsi").applyInPandasWithState(update, VESSEL, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def vessel_snapshot(positions: DataFrame) -> DataFrame:
