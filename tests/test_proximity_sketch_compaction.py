@@ -135,3 +135,14 @@ def test_every_row_survives_on_the_tables(spark, sf):
     e, p, s = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("event_rows", "positions", "slot_files"))
     r = compaction.compact_all(e, p, s).groupBy("dataset").agg(F.sum("rows_out").alias("n")).collect()
     assert {x["dataset"]: x["n"] for x in r} == {"events": e.select("GlobalEventID").distinct().count(), "positions": p.select("mmsi", "ts_utc").distinct().count()}
+
+
+@pytest.mark.parametrize("level", [0, 2, 3, 4, 9, 13])
+def test_cells_of_points_and_cover_agree(spark, level):
+    n = 1 << level
+    rows = sorted({0, 1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, n // 2, n - 2, n - 1} & set(range(n)))
+    lats = [-90 + 180 * (r + 0.5) / n for r in rows]
+    d = spark.createDataFrame([(r, a, lon) for r, a in zip(rows, lats) for lon in (-180.0, -0.1, 77.7, 180.0)], "r long, lat double, lon double")
+    for x in d.withColumn("k", proximity.cell_key(F.col("lat"), F.col("lon"), level)).collect():
+        c = proximity.columns_at(x["r"], level)
+        assert x["k"] == (level << 50) + (x["r"] << 25) + min(c - 1, math.floor((x["lon"] + 180) / 360 * c))

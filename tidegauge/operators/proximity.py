@@ -44,11 +44,11 @@ def cell_key(lat: Column, lon: Column, level: int) -> Column:
     """The cell of a level (up to 24) that holds the point; the upper edges belong to the last cells."""
     n = 1 << level
     row = F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1)).cast("long")
-    wide = F.lit(n)
-    if level > 3:  # the same as columns_at; far from the poles only the first test runs
+    wide = F.lit(n).cast("long")
+    if level > 3:  # the same as columns_at; the half keeps the logarithm off whole numbers
         from_pole = F.least(row + 1, n - row)
-        bits = sum((F.when(from_pole > (1 << j), 1).otherwise(0) for j in range(level - 3)), F.lit(0))
-        wide = F.when(from_pole > (1 << (level - 4)), n).otherwise(F.lit(8) * F.pow(F.lit(2), bits).cast("long")).cast("long")
+        bits = F.greatest(F.lit(0), F.floor(F.log2(from_pole - 0.5)) + 1)
+        wide = F.when(from_pole > (1 << (level - 4)), wide).otherwise(F.least(wide, (8 * F.pow(F.lit(2.0), bits)).cast("long")))
     col = F.least(F.floor((lon + 180.0) / 360.0 * wide), wide - 1).cast("long")
     return F.lit(level).cast("long") * (1 << 50) + row * (1 << 25) + col
 
