@@ -8,7 +8,7 @@ Labels are verdicts on whole documents, and not free of mistakes. Labelled token
 weighed by how much more often flagged documents hold them, the sentences of flagged documents that stand out become toxic spans,
 those of other documents harmless ones; sentences that stand out less, or contradict their document's verdict are left out. The field trained on
 these is then applied to the training documents, the spans are drawn anew and it is trained again. A small set of example
-sentences written for this module is added, so that tables with few labels work too.
+sentences written for this module, and the strong words of its lexicon, are added, so that tables with few labels work too.
 
 Tokens are compared in a plain form: case, accents and invisible characters are dropped, look-alike letters of other scripts,
 digits and signs in place of letters, letters set apart and drawn-out letters are undone.
@@ -259,7 +259,7 @@ class Crf:
         del start
         return p[mask], trans
 
-    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, rounds: int = 5, rate: float = 0.3, l2: float = 1e-6, batch: int = 512, seed: int = 7) -> None:
+    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, rounds: int = 5, rate: float = 0.3, l2: float = 1e-6, batch: int = 256, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         gw, gt, gb = np.full(len(self.w), 1e-2), np.full((2, 2), 1e-2), 1e-2
         start = np.cumsum(n) - n
@@ -323,6 +323,7 @@ def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
         return sum(got) / max(1, len(got))
 
     examples = [([w for w, _, _ in s], y) for y, t in EXAMPLES for s in sentences(t)]
+    examples += [([plain(w)], 1) for w in STRONG] + [([plain(y), plain(w)], 1) for y, w in zip(YOU * 9, STRONG)]
     crf = Crf()
     for step in range(rounds + 1):
         if step:
@@ -342,11 +343,11 @@ def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
                     use.append((s, 1))
                 elif m < low or (not f and m < high):
                     use.append((s, 0))
-        use += examples * 3
+        use += examples * max(3, len(use) // (8 * len(examples)) if len(use) < 20_000 else 3)
         x, n = features([s for s, _ in use])
         y = np.repeat(np.array([k for _, k in use], dtype=float), n)
         crf = Crf()
-        crf.fit(x, n, y, rounds=4 if step < rounds else 6)
+        crf.fit(x, n, y, rounds=max(4 if step < rounds else 6, min(60, 150 * 256 // max(1, len(use)))))
     return crf
 
 
