@@ -1,11 +1,11 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary.
 
-Method: the text of a whole Arrow batch is one array of code points. A class array (letter, number, white space, other) and scans
-over it locate the token borders, without a regular expression: a scan carries, for each position, the start of its run - every
-code point's transition either keeps the carried start or resets it, such transitions compose associatively, and numpy's
-``maximum.accumulate`` is their scan. Borders are then local conditions on a few neighbours. The slices between borders are
-dictionary-encoded by Arrow, only slices not met before pass through the pair merges, and the ids are laid out per document by
-``take``. Offsets of the slices are kept, so that ids map back to the text.
+Method: the text of a whole Arrow batch is one array of code points, and a class array (letter, number, white space, other,
+end of document) replaces the regular expression. Locating borders is a scan of the splitting automaton's transition functions.
+For this pattern each function depends on at most two neighbours on either side and forgets all before, so functions compose to the
+last one and the scan needs no sequential part: borders are elementwise conditions on shifted class arrays, and prefix sums turn them
+into slices, counts per document and byte offsets. Arrow dictionary-encodes the slices, only slices not met before pass through the
+pair merges (cached for the worker's life), and ``take`` lays out the ids per document. Offsets are kept, so ids map back to the text.
 
 The split has the meaning of ``public_tokenizers.PATTERN``; nulls and empty texts have no tokens: both give an empty list.
 """
@@ -75,11 +75,6 @@ def borders(cps: np.ndarray) -> np.ndarray:
     return start
 
 
-def run_starts(start: np.ndarray) -> np.ndarray:
-    """The index of the token that holds each position: the scan of keep-or-reset transitions."""
-    return np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
-
-
 @lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Byte sequences and ranks of a rank file (base64 and number a line)."""
