@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidegauge import api
-from tidegauge.operators import aggregates, intervals, market_model
+from tidegauge.operators import aggregates, intervals, market_model, planning, text_features
 from tidegauge.operators import events as ev
 from tidegauge.plans import core_queries as q
 from tidegauge.plans import semantic
@@ -142,3 +142,63 @@ def stream_slot_replay(spark, d):
 @query("""select mmsi, count(*) as n, min(ts_utc) as first_seen, max(ts_utc) as last_seen from positions where mmsi is not null and ts_utc is not null group by 1""")
 def vessel_snapshot(spark, d):
     return slots.vessel_snapshot(table(spark, d, "positions")).select("mmsi", "n", "first_seen", "last_seen")
+
+
+# ------------------------------------------------------------------ texts and planning
+
+
+@query()
+def slug_corpus(spark, d):
+    return text_features.slug_corpus(table(spark, d, "event_rows"))
+
+
+@query()
+def slug_features_daily(spark, d):
+    return q.rounded(text_features.slug_features(table(spark, d, "event_rows")))
+
+
+@query()
+def headline_features_daily(spark, d):
+    return q.rounded(text_features.headline_features(table(spark, d, "documents")))
+
+
+@query("""with f as (select url, min(cast(seendate as date)) as date from documents where title is not null and seendate is not null and url is not null group by 1
+ union all select cast(doc_id as varchar), cast(seendate as date) from documents where title is not null and seendate is not null and url is null)
+select date, count(*) as n from f group by 1""")
+def headlines_per_day(spark, d):
+    h = text_features.headlines(table(spark, d, "documents"))
+    return h.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scenes(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("port"), (F.col("o_orderdate").cast("timestamp_ntz")).alias("acquired"))
+
+
+_WINDOWS = (intervals.period("w1", "1995-05-01", "1995-07-15"), intervals.period("w2", "1996-08-15", "1996-10-15"))
+
+
+@query("""with w(name, s, e) as (values ('w1', date '1995-05-01', date '1995-07-15'), ('w2', date '1996-08-15', date '1996-10-15')),
+x as (select name as "window", o_orderpriority as port, cast(o_orderdate as date) as day, o_orderkey as id, row_number() over (partition by name, o_orderpriority, cast(o_orderdate as date) order by o_orderdate, o_orderkey) as r
+ from orders join w on cast(o_orderdate as date) between s and e) select "window", port, day, id from x where r = 1""")
+def pass_plan(spark, d):
+    return planning.plan(_scenes(spark, d), _WINDOWS).select("window", "port", "day", "id")
+
+
+@query("""select o_orderpriority as port, cast(o_orderdate as date) as day from orders group by 1, 2""")
+def pass_days(spark, d):
+    return planning.pass_days(_scenes(spark, d))
+
+
+@query("""with p as (select distinct o_orderpriority as port, cast(o_orderdate as date) as day from orders), s as (select distinct port, day from p where day < date '1997-01-01')
+select (select count(*) from p) as planned, (select count(*) from p) - (select count(*) from s) as missing, round(((select count(*) from p) - (select count(*) from s)) * 3.3333, 4) + 0.0 as cost""")
+def planned_cost(spark, d):
+    p = planning.pass_days(_scenes(spark, d))
+    return q.rounded(planning.cost(p, p.filter("day < date'1997-01-01'"), ["port", "day"], 3.3333))
+
+
+@query(f"""with {q._WIDE} select 'a' as "window", cast(76 as integer) as days, count(*) filter (where coalesce(brent, wti) is not null and date between date '2013-05-01' and date '2013-07-15') as covered from wide
+union all select 'b', cast(62 as integer), count(*) filter (where coalesce(brent, wti) is not null and date between date '2014-08-15' and date '2014-10-15') from wide""")
+def anchor_window_coverage(spark, d):
+    cal = (intervals.period("a", "2013-05-01", "2013-07-15"), intervals.period("b", "2014-08-15", "2014-10-15"))
+    return planning.window_coverage(q.wide(spark, d), cal, ["brent", "wti"])
