@@ -34,6 +34,8 @@ def test_within_distance_equals_brute_force(spark, radius, monkeypatch):
     assert key(proximity.within_distance(p, s, radius)) == want
     monkeypatch.setattr(proximity, "MAX_BROADCAST_ROWS", 3)  # the way for large coverages
     assert key(proximity.within_distance(p, s, radius)) == want
+    inner = s.filter("name in ('s', 'near')")  # without the poles' cells
+    assert key(proximity.within_distance(p, inner, radius)) == sorted(x for x in want if x[1] in ("s", "near"))
     assert proximity.within_distance(p.limit(0), s, radius).count() == 0 == proximity.within_distance(p, s.limit(0), radius).count()
 
 

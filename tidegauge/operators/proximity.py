@@ -40,12 +40,15 @@ def columns_at(row: int, level: int) -> int:
     return min(n, 8 << (from_pole - 1).bit_length())
 
 
-def cell_key(lat: Column, lon: Column, level: int) -> Column:
-    """The cell of a level (up to 24) that holds the point; the upper edges belong to the last cells."""
+def cell_key(lat: Column, lon: Column, level: int, poles: bool = True) -> Column:
+    """The cell of a level (up to 24) that holds the point; the upper edges belong to the last cells.
+
+    ``poles=False`` leaves out what only rows beyond 78.75 degrees need; keys there then match no cell of a cover.
+    """
     n = 1 << level
     row = F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1)).cast("long")
     wide = F.lit(n).cast("long")
-    if level > 3:  # the same as columns_at; the half keeps the logarithm off whole numbers
+    if level > 3 and poles:  # the same as columns_at; the half keeps the logarithm off whole numbers
         from_pole = F.least(row + 1, n - row)
         bits = F.greatest(F.lit(0), F.floor(F.log2(from_pole - 0.5)) + 1)
         wide = F.when(from_pole > (1 << (level - 4)), wide).otherwise(F.least(wide, (8 * F.pow(F.lit(2.0), bits)).cast("long")))
@@ -118,7 +121,10 @@ def within_distance(
     pid, la, lo = point_cols
     p = points.filter(valid(F.col(la), F.col(lo))).select(F.col(pid).alias("point"), F.col(la).cast("double").alias("lat"), F.col(lo).cast("double").alias("lon"))
     c = written(coverage(sites, radius_km, levels, *site_cols), "coverage")
-    keyed = p.withColumn("cell", F.explode(F.array(*(cell_key(F.col("lat"), F.col("lon"), v) for v in levels))))
+    # whether any circle, with the cells about it, comes near the rows that have fewer columns
+    edge = 77.75 - 3 * math.degrees(radius_km / EARTH_KM)
+    poles = edge <= 0 or not c.filter(F.abs("site_lat") > edge).isEmpty()
+    keyed = p.withColumn("cell", F.explode(F.array(*(cell_key(F.col("lat"), F.col("lon"), v, poles) for v in levels))))
     if c.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         both = keyed.join(F.broadcast(c), "cell")
     else:
