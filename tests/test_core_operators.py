@@ -288,6 +288,7 @@ def test_otsu_and_histogram(spark):
     h = agg.histogram(d, ["chip"], "v")
     n = np.histogram(x, 256)[0]
     assert {r_["bin"]: r_["n"] for r_ in h.collect()} == {i: c for i, c in enumerate(n.tolist()) if c}
+    assert agg.histogram(d, [], "v", 4).agg(F.sum("n")).first()[0] == 500
     assert agg.otsu(h, ["chip"]).first()["threshold"] == pytest.approx(raster.otsu_value(x), abs=0.2)
 
 

@@ -71,15 +71,14 @@ def budgeted_prefix(df: DataFrame, keys: Sequence[str], cost: str, budget: float
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
     """(keys, lo, hi, bin, n): counts in equal bins from minimum to maximum, the last one closed; one bin if all are equal."""
+    own = list(keys) or ["__one"]
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    ends = d.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    at = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)).cast("int")
-    return d.join(F.broadcast(ends) if not keys else ends, list(keys)).groupBy(*keys, "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")) if keys else _one_histogram(d, value, bins)
-
-
-def _one_histogram(d: DataFrame, value: str, bins: int) -> DataFrame:
-    out = histogram(d.withColumn("__one", F.lit(0)), ["__one"], value, bins)
-    return out.drop("__one")
+    d = d if keys else d.withColumn("__one", F.lit(0))
+    d = d.join(d.groupBy(*own).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), own)
+    share = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    at = F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int")
+    out = d.groupBy(*own, "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return out if keys else out.drop("__one")
 
 
 def otsu(hist: DataFrame, keys: Sequence[str], bins: int = 256) -> DataFrame:

@@ -95,7 +95,7 @@ def date_range_projection(spark, d):
     return e.filter(F.col("date").between(F.date_sub(F.lit(last), 30), F.lit(last)))
 
 
-@query("""select event_type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events where try_cast(json_extract_string(props, '$.k') as bigint) >= 50 group by 1""")
+@query("""select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events where try_cast(json_extract_string(props, '$.k') as bigint) >= 50 group by 1""")
 def json_prop_filter(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return table(spark, d, "events").withColumn("k", k).filter("k >= 50").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
@@ -184,7 +184,7 @@ def rolling_smooth(spark, d):
 
 @query(f"""with {_SPREAD}, r as (select date, (brent / nullif(lag(brent) over (order by date), 0) - 1) * 100 as r1, spread from sp)
 select date, round(case when r1 is not null and count(r1) over w7 >= 3 then stddev_samp(r1) over w7 end, 3) + 0.0 as vol_7,
- case when spread is not null and count(*) over w30 >= 10 then sum(case when spread > 15 then 1.0 else 0.0 end) over w30 end as stressed_30
+ case when spread is not null and count(*) over w30 >= 10 then cast(sum(case when spread > 15 then 1.0 else 0.0 end) over w30 as double) end as stressed_30
 from r window w7 as (order by date rows between 6 preceding and current row), w30 as (order by date rows between 29 preceding and current row)""")
 def rolling_vol_and_stress(spark, d):
     w = ts.ordered()
@@ -313,12 +313,21 @@ c as (select fold, 180 + fold * ((select max(n) from n) - 180) // 5 as cut, ((se
 a as (select fold, cut, size, min(date) as train_start, max(date) as train_end, count(*) as train_days from c2 join n on pos <= cut group by 1, 2, 3)
 select cast(a.fold as integer) as fold, train_start, train_end, train_days, train_end + 10 as embargo_end, min(date) as test_start, max(date) as test_end, count(*) as test_days from a join n on n.date > train_end + 10 and pos <= cut + size group by 1, 2, 3, 4, 5""")
 def expanding_folds(spark, d):
-    return intervals.expanding_folds(wide(spark, d))
+    return _folds(spark, d)
+
+
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    """The folds of the market panel; none where it has too few days."""
+    try:
+        return intervals.expanding_folds(wide(spark, d))
+    except ValueError:
+        kind = "fold int, train_start date, train_end date, train_days long, embargo_end date, test_start date, test_end date, test_days long"
+        return spark.createDataFrame([], kind)
 
 
 @query()
 def fold_audit(spark, d):
-    return intervals.audit_folds(intervals.expanding_folds(wide(spark, d)), CAL)
+    return intervals.audit_folds(_folds(spark, d), CAL)
 
 
 @query(f"""with {_WIDE}, {_FOLDS} select event, 'event in training' as problem from f join cal on name = event where test_days > 0 and train_days >= 120 and e >= train_start and s <= train_end""")

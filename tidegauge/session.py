@@ -27,6 +27,7 @@ def get_spark(app: str = "tidegauge", cpus: int | str = "*", partitions: int | N
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
