@@ -113,6 +113,18 @@ def test_plain_tokens():
     assert len(words(long)) == 500 and max(map(len, toxicity.sentences(long))) <= toxicity.LONGEST
 
 
+def test_tokens_alone_equal_those_with_offsets(spark, sf):
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["a-b-c d", "x.y.z", "", None, "é​x. ?!"]
+    for t in texts:
+        assert toxicity.token_sentences(t) == [[w for w, _, _ in s] for s in toxicity.sentences(t)]
+
+
+def test_sentence_scores():
+    p, n = np.array([0.1, 0.9, 0.5, 0.2, 0.7]), np.array([4, 1])
+    np.testing.assert_allclose(toxicity.sentence_scores(p, n), [(0.9 + 0.5 + 0.2) / 3, 0.7])
+    assert len(toxicity.sentence_scores(np.zeros(0), np.zeros(0, dtype=int))) == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     c = toxicity.Crf()

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,7 @@ _CYRILLIC_GREEK = re.compile(r"[Ͱ-ԯ]")
 _LATIN = re.compile(r"[a-z]")
 _APART = re.compile(r"(?<!\w)(?:\w[-._* ·•]){2,}\w(?!\w)")
 _TOKEN = re.compile(r"[^\W_](?:[\w@$€!*|+]*[\w$@])?|[.!?;؟。\n]+")
+_INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
 _STOPS = frozenset(".!?;؟。\n")
 
 
@@ -117,11 +119,9 @@ def _join_apart(text: str) -> str:
 
 def _visible(text: str) -> tuple[str, list[int] | None]:
     """The text without invisible characters and, if any were dropped, the place of each that stays."""
-    if text.isascii():
-        return text, None
-    keep = [i for i, c in enumerate(text) if unicodedata.category(c) not in ("Cf", "Mn", "Me")]
-    if len(keep) == len(text):
+    if text.isascii() or not _INVISIBLE.search(text):
         return text, None
+    keep = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
     return "".join(text[i] for i in keep), keep
 
 
@@ -130,8 +130,7 @@ def sentences(text: str | None) -> list[list[tuple[str, int, int]]]:
     if not text:
         return []
     seen, place = _visible(text)
-    if "-" in seen or "." in seen or "*" in seen or "_" in seen or " " in seen:
-        seen = _join_apart(seen)
+    seen = _join_apart(seen)
     out: list[list[tuple[str, int, int]]] = []
     cur: list[tuple[str, int, int]] = []
     for m in _TOKEN.finditer(seen):
@@ -157,6 +156,34 @@ def _lexicon() -> dict[str, int]:
     return {plain(w): k for k, ws in ((3, YOU), (2, WEAK), (1, STRONG)) for w in ws}
 
 
+_plain_cache: dict[str, str] = {}
+
+
+def token_sentences(text: str | None) -> list[list[str]]:
+    """The plain tokens of :func:`sentences` alone, for the many texts whose offsets nobody asks for."""
+    if not text:
+        return []
+    if len(_plain_cache) > 500_000:
+        _plain_cache.clear()
+    known, out, cur = _plain_cache, [], []
+    for s in _TOKEN.findall(_join_apart(_visible(text)[0])):
+        if s[0] in _STOPS:
+            if cur:
+                out.append(cur)
+                cur = []
+            continue
+        w = known.get(s)
+        if w is None:
+            w = known[s] = plain(s)
+        cur.append(w)
+        if len(cur) == LONGEST:
+            out.append(cur)
+            cur = []
+    if cur:
+        out.append(cur)
+    return out
+
+
 _word_cache: dict[str, tuple[int, int, int, int]] = {}
 
 
@@ -227,37 +254,47 @@ class Crf:
     def unary(self, x: np.ndarray) -> np.ndarray:
         return self.w[x].sum(axis=1) + self.bias
 
-    def marginals(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(tag 1) of every token and the expected transitions, over all sentences at once, step by step."""
+    def marginals(self, x: np.ndarray, n: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """P(tag 1) of every token and, if wanted, the expected transitions. Sentences of like length go together, step by step."""
         u = self.unary(x)
-        m, longest = len(n), int(n.max()) if len(n) else 0
+        out, trans = np.zeros(len(u)), np.zeros((2, 2))
         start = np.cumsum(n) - n
-        grid = np.zeros((m, longest))
-        mask = np.arange(longest)[None, :] < n[:, None]
-        grid[mask] = u
+        order = np.argsort(n, kind="stable")
+        for part in np.array_split(order, max(1, min(8, len(n) // 64))) if len(n) else []:
+            m, longest = n[part], int(n[part].max())
+            mask = np.arange(longest)[None, :] < m[:, None]
+            at = (start[part][:, None] + np.arange(longest)[None, :])[mask]
+            grid = np.zeros((len(part), longest))
+            grid[mask] = u[at]
+            p, t = self._forward_backward(grid, mask, m, transitions)
+            out[at] = p[mask]
+            trans += t
+        return out, trans
+
+    def _forward_backward(self, grid: np.ndarray, mask: np.ndarray, n: np.ndarray, transitions: bool) -> tuple[np.ndarray, np.ndarray]:
+        m, longest = grid.shape
         lse = np.logaddexp
-        a = np.zeros((m, longest, 2))
-        b = np.zeros((m, longest, 2))
-        a[:, 0, 1] = grid[:, 0]
+        a = np.zeros((longest, 2, m))
+        b = np.zeros((longest, 2, m))
+        a[0, 1] = grid[:, 0]
         for k in range(1, longest):
             for y in (0, 1):
-                a[:, k, y] = lse(a[:, k - 1, 0] + self.t[0, y], a[:, k - 1, 1] + self.t[1, y]) + (grid[:, k] if y else 0)
+                a[k, y] = lse(a[k - 1, 0] + self.t[0, y], a[k - 1, 1] + self.t[1, y]) + (grid[:, k] if y else 0)
         for k in range(longest - 2, -1, -1):
-            inside = mask[:, k + 1]
             for y in (0, 1):
-                v = lse(self.t[y, 0] + b[:, k + 1, 0], self.t[y, 1] + grid[:, k + 1] + b[:, k + 1, 1])
-                b[:, k, y] = np.where(inside, v, 0.0)
-        z = lse(a[np.arange(m), n - 1, 0], a[np.arange(m), n - 1, 1]) if m else np.zeros(0)
-        p = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None])
+                v = lse(self.t[y, 0] + b[k + 1, 0], self.t[y, 1] + grid[:, k + 1] + b[k + 1, 1])
+                b[k, y] = np.where(mask[:, k + 1], v, 0.0)
+        last = a[n - 1, :, np.arange(m)]
+        z = lse(last[:, 0], last[:, 1])
+        p = np.exp(np.minimum(0.0, a[:, 1] + b[:, 1] - z)).T
         trans = np.zeros((2, 2))
-        for k in range(1, longest):
+        for k in range(1, longest if transitions else 1):
             inside = mask[:, k]
             for i in (0, 1):
                 for j in (0, 1):
-                    e = a[:, k - 1, i] + self.t[i, j] + (grid[:, k] if j else 0) + b[:, k, j] - z
+                    e = a[k - 1, i] + self.t[i, j] + (grid[:, k] if j else 0) + b[k, j] - z
                     trans[i, j] += np.exp(e[inside]).sum()
-        del start
-        return p[mask], trans
+        return p, trans
 
     def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, rounds: int = 5, rate: float = 0.3, l2: float = 1e-6, batch: int = 256, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -289,14 +326,14 @@ class Crf:
 
 
 def sentence_scores(p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The mean of the three highest token marginals of each sentence."""
-    out = np.zeros(len(n))
-    at = 0
-    for i, k in enumerate(n.tolist()):
-        q = np.sort(p[at : at + k])[-3:]
-        out[i] = q.mean() if len(q) else 0.0
-        at += k
-    return out
+    """The mean of the three highest token marginals of each sentence (of all, if there are fewer)."""
+    if not len(n):
+        return np.zeros(0)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((-p, row))
+    rank = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+    top = rank < 3
+    return np.bincount(row[top], weights=p[order][top], minlength=len(n)) / np.maximum(1, np.minimum(n, 3))
 
 
 def _ngrams(s: list[str]) -> set[tuple[str, ...]]:
@@ -305,7 +342,7 @@ def _ngrams(s: list[str]) -> set[tuple[str, ...]]:
 
 def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
     """The field from labelled documents (text, flagged) and the example sentences."""
-    docs = [([[w for w, _, _ in s] for s in sentences(t)], bool(f)) for t, f in rows]
+    docs = [(token_sentences(t), bool(f)) for t, f in rows]
     flagged, other = Counter(), Counter()
     n_f = sum(f for _, f in docs) + 1
     n_o = sum(not f for _, f in docs) + 1
@@ -322,14 +359,14 @@ def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
         got = sorted((memo[g] if g in memo else memo.setdefault(g, odds(g)) for g in _ngrams(s)), reverse=True)[:3]
         return sum(got) / max(1, len(got))
 
-    examples = [([w for w, _, _ in s], y) for y, t in EXAMPLES for s in sentences(t)]
+    examples = [(s, y) for y, t in EXAMPLES for s in token_sentences(t)]
     examples += [([plain(w)], 1) for w in STRONG] + [([plain(y), plain(w)], 1) for y, w in zip(YOU * 9, STRONG)]
     crf = Crf()
     for step in range(rounds + 1):
         if step:
             every = [s for ss, _ in docs for s in ss]
             x, n = features(every)
-            marks = iter((sentence_scores(crf.marginals(x, n)[0], n) if len(every) else np.zeros(0)).tolist())
+            marks = iter((sentence_scores(crf.marginals(x, n, False)[0], n) if len(every) else np.zeros(0)).tolist())
             scored = [[next(marks) for _ in ss] for ss, _ in docs]
             high, low, rescue = 0.5, 0.3, 0.4
         else:
@@ -379,26 +416,24 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             for a in range(0, len(texts), 256):
-                parts = [sentences(t) for t in texts[a : a + 256]]
+                own_texts = texts[a : a + 256]
+                parts = [token_sentences(t) for t in own_texts]
                 flat = [s for ss in parts for s in ss]
                 scores = np.zeros(len(parts))
                 spans: list[list[dict[str, int]]] = [[] for _ in parts]
                 if flat:
-                    x, n = features([[w_ for w_, _, _ in s] for s in flat])
-                    p, _ = own.marginals(x, n)
-                    marks, at, k = sentence_scores(p, n), 0, 0
-                    for i, ss in enumerate(parts):
-                        worst = 0.0
-                        for s in ss:
-                            q = p[at : at + len(s)]
-                            at += len(s)
-                            worst = max(worst, marks[k])
+                    x, n = features(flat)
+                    p, _ = own.marginals(x, n, False)
+                    marks = sentence_scores(p, n)
+                    doc = np.repeat(np.arange(len(parts)), [len(ss) for ss in parts])
+                    np.maximum.at(scores, doc, marks)
+                    first, begin = np.searchsorted(doc, np.arange(len(parts))), np.cumsum(n) - n
+                    for i in np.flatnonzero(scores >= THRESHOLD).tolist():  # offsets of these only
+                        for k, s in enumerate(sentences(own_texts[i]), int(first[i])):
                             if marks[k] >= THRESHOLD:
-                                hot = np.flatnonzero(q >= THRESHOLD)
+                                hot = np.flatnonzero(p[begin[k] : begin[k] + n[k]] >= THRESHOLD)
                                 for r in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
                                     spans[i].append({"start": s[r[0]][1], "end": s[r[-1]][2]})
-                            k += 1
-                        scores[i] = worst
                 c = b.slice(a, 256)
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("source"), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "source", "score", "spans"])
