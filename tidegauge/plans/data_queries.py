@@ -109,7 +109,47 @@ select kind, entity, 'GoldsteinScale' as measure, d, GoldsteinScale as v from gr
 union all
 select kind, entity, 'AvgTone', d, AvgTone from groups where d is not null and entity is not null and AvgTone is not null and not isnan(AvgTone)"""
 
+
+
+def _spikes(steps: str, longest: int, up: str, down: str) -> str:
+    """Steps (src, i, lo, hi, first, last, lim) in blocks of at most ``longest`` on one side of the steps before and after.
+
+    ``up`` and ``down`` are conditions on {x} and the reference {r}."""
+    parts = []
+    for k in range(1, longest + 1):
+        low, high = (f"{f}({c}) over (partition by src order by i rows between current row and {k - 1} following)" for f, c in (("min", "lo"), ("max", "hi")))
+        one = lambda cond, x: " and ".join(f"({cond.format(x=x, r=r)})" for r in ("b", "a"))
+        parts.append(f"""select src, i, bool_or(h) over (partition by src order by i rows between {k - 1} preceding and current row) as h from (
+  select src, i, coalesce(({one(up, "l")}) or ({one(down, "g")}), false) as h from (
+    select src, i, lim, {low} as l, {high} as g, lag(last) over (partition by src order by i) as b, lead(first, {k}) over (partition by src order by i) as a from {steps}))""")
+    return "select distinct src, i from (" + "\nunion all\n".join(parts) + ") where h"
+
+
+def _runs(table_: str, least: int, at: str) -> str:
+    """Rows in runs of at least ``least`` equal readings."""
+    return f"""select id, v from (select id, v, count(*) over (partition by src, g) as n from (
+  select *, sum(case when v is distinct from pv then 1 else 0 end) over (partition by src order by ts, id) as g from (
+    select *, lag(v) over (partition by src order by ts, id) as pv from {table_}))) where n >= {least} {at}"""
+
+
+_P6 = f"""with sog as (select mmsi as src, ts_utc as ts, msg_id as id, sog as v from positions where mmsi is not null and ts_utc is not null and sog is not null and not isnan(sog)),
+dr as (select mmsi as src, ts_utc as ts, msg_id as id, draught as v from positions where mmsi is not null and ts_utc is not null and draught is not null and not isnan(draught)),
+va as (select series_id as src, date as ts, obs_id as id, value as v from market_daily where series_id is not null and date is not null and value is not null and not isnan(value)),
+p95 as (select src, quantile_cont(v, 0.95) as lim from sog where v between 2 and 60 group by 1),
+dstep as (select *, sum(case when ts is distinct from pt or v is distinct from pv then 1 else 0 end) over (partition by src order by ts, id) as i from (
+  select *, lag(ts) over w as pt, lag(v) over w as pv from dr window w as (partition by src order by ts, id))),
+dsteps as (select src, i, v as lo, v as hi, v as first, v as last, 0.0 as lim from dstep group by all),
+vday as (select src, cast(ts as date) as d, min(v) as lo, max(v) as hi, first(v order by ts, id) as first, last(v order by ts, id) as last from va group by 1, 2),
+mac as (select src, median(abs(c)) as lim from (select src, last - lag(last) over (partition by src order by d) as c from vday) where c is not null group by 1),
+vsteps as (select vday.src, row_number() over (partition by vday.src order by d) as i, d, lo, hi, first, last, lim from vday join mac using (src)),
+dspikes as ({_spikes("dsteps", 5, "{x} - {r} > 0.4 * abs({r})", "{r} - {x} > 0.4 * abs({r})")}),
+vspikes as ({_spikes("vsteps", 3, "{x} - {r} > 8.0 * lim", "{r} - {x} > 8.0 * lim")})
+select 'positions' as tbl, 'sog' as field, id as row_id from (select id from sog left join p95 using (src) where v < 0 or v > 60 or v > 2 * lim union select id from ({_runs("sog", 15, "and v >= 2")}))
+union all select 'positions', 'draught', id from (select id from dr where v <= 0 or v > 25 union select id from dstep join dspikes using (src, i))
+union all select 'market_daily', 'value', id from (select id from va where v <= 0 union select id from va join vsteps on va.src = vsteps.src and cast(va.ts as date) = vsteps.d join vspikes on vspikes.src = vsteps.src and vspikes.i = vsteps.i union select id from ({_runs("va", 10, "")}))"""
+
 ORACLES = {
+    "p6_found": _P6,
     "p2_found": f"""with {_READINGS}
 select life.series_id, strftime(life.d, '%Y-%m-%d') as day from life anti join r on r.series_id = life.series_id and r.d = life.d""",
     "p2_grid": f"""with {_READINGS},
