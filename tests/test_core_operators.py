@@ -336,3 +336,19 @@ def test_densify_has_every_day(spark):
     r = ts.densify([a, b]).orderBy("date").collect()
     assert [(x["a"], x["b"]) for x in r] == [(1, None), (None, None), (None, None), (None, 2)]
     assert ts.densify([a.limit(0), b.limit(0)]).count() == 0
+
+
+def test_negatives_and_date_split(spark):
+    m = spark.createDataFrame([(0, i, j, j < 16) for i in range(32) for j in range(32)], "chip long, row int, col int, water boolean")
+    o = spark.createDataFrame([(0, 3.0, 3.0)], "chip long, row double, col double")
+    n = raster.negatives(m, o, 8, 5, 32, 32).collect()
+    assert len(n) == 5 and n[0]["label"] < 0 and all(r["col"] < 16 and not (r["row"] < 8 and r["col"] < 8) and r["row"] >= 4 for r in n)
+    assert sorted(map(tuple, n)) == sorted(map(tuple, raster.negatives(m.repartition(3), o, 8, 5, 32, 32).collect()))
+    d = spark.createDataFrame([(p, dt.date(2015, 1, k)) for p in "ab" for k in range(1, 5) for _ in range(3)], "port string, date date")
+    s = raster.split_by_date(d, ["port"], "date")
+    assert s.count() == 24 and {str(r["date"]) for r in s.filter("is_test").collect()} == {"2015-01-04"} and s.filter("is_test").count() == 6
+
+
+def test_terms(spark):
+    d = spark.createDataFrame([("Gulf  of\nOman",), ("gulfofoman",), (None,), ("HORMUZ",)], "t string")
+    assert [r[0] for r in d.select(ev.mentions(F.col("t"))).collect()] == [True, False, False, True]

@@ -95,7 +95,7 @@ def tables(spark):
     names = [("e/dt=2015-03-01/a", "events"), ("e/dt=2015-03-01/b", "events"), ("e/dt=2015-03-02/c", "events"), ("e/dt=2015-03-02/empty", "events"), ("p/dt=2015-03-01/x", "positions"), ("p/dt=2015-03-01/y", "positions")]
     sl = [(n, d, 3, 1000, t + dt.timedelta(hours=i)) for i, (n, d) in enumerate(names)]
     return (
-        spark.createDataFrame(ev, "GlobalEventID string, src_file string, AvgTone double"),
+        spark.createDataFrame([(*r, "clash", "clash") for r in ev], "GlobalEventID string, src_file string, AvgTone double, bin string, written_at string"),
         spark.createDataFrame(po, "mmsi string, ts_utc timestamp_ntz, src_file string, msg_id long"),
         spark.createDataFrame(sl, "file_name string, dataset string, n_rows long, n_bytes long, written_at timestamp_ntz"),
     )

@@ -117,23 +117,33 @@ def found(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target
     return ledger(events, positions, bins).select("file_a", "file_b")
 
 
+#: The column added to the rows while they are rewritten; part of the folder names.
+BIN_COLUMN = "compact_bin"
+
+
 def once(df: DataFrame, key: list[str], bins: DataFrame) -> DataFrame:
-    """``df`` with ``bin``, each record once: the copy of the file written last (then the later name). Rows without a full
-    key can't be told apart and are all kept. Files outside the manifest are not touched."""
-    b = bins.select(F.col("file_name").alias("src_file"), "bin", "written_at")
+    """``df`` with ``compact_bin``, each record once: the copy of the file written last (then the later name).
+
+    Rows without a full key can't be told apart and are all kept. Files outside the manifest are not touched. Other columns
+    may have any name but ``compact_bin``.
+    """
+    if BIN_COLUMN in df.columns:
+        raise ValueError(f"a column is named {BIN_COLUMN}")
+    b = bins.select(F.col("file_name").alias("src_file"), F.col("bin").alias(BIN_COLUMN), F.col("written_at").alias("__written"))
     own = df.join(broadcast_if_small(b), "src_file")
     has_key = F.lit(True)
     for k in key:
         has_key = has_key & F.col(k).isNotNull()
-    cols = [c for c in own.columns if c != "written_at"]
+    cols = [*df.columns, BIN_COLUMN]
     # ties of time and file are settled by the whole row, so a rerun keeps the same copy
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("written_at").desc(), F.col("src_file").desc(), F.xxhash64(*df.columns)))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("__written").desc(), F.col("src_file").desc(), F.xxhash64(*df.columns)))
     keyed = own.filter(has_key).withColumn("__r", rank).filter("__r = 1").select(cols)
     return keyed.unionByName(own.filter(~has_key).select(cols))
 
 
 def _sums(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("x"), F.sum(F.xxhash64(*cols).bitwiseAND(0xFFFFFFFF)).alias("s"))
+    h = F.xxhash64(*cols)
+    return df.groupBy(F.col(BIN_COLUMN).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("s"))
 
 
 def compact(df: DataFrame, name: str, key: list[str], bins: DataFrame, target_dir: str | None = None) -> DataFrame:
@@ -146,10 +156,10 @@ def compact(df: DataFrame, name: str, key: list[str], bins: DataFrame, target_di
     spark = df.sparkSession
     own = bins.filter(F.col("dataset") == name)
     clean = once(df, key, own)
-    cols = [c for c in clean.columns if c != "bin"]
+    cols = df.columns
     root = target_dir or f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}"
     staging, final = f"{root}/_staging-{name}", f"{root}/{name}"
-    clean.repartition("bin").write.partitionBy("bin").parquet(staging)
+    clean.repartition(BIN_COLUMN).write.partitionBy(BIN_COLUMN).parquet(staging)
     back = spark.read.schema(clean.schema).parquet(staging)
     want, got = _sums(clean, cols), _sums(back, cols).withColumnsRenamed({"n": "n2", "x": "x2", "s": "s2"})
     both = written(want.join(got, "bin", "full"), "verify")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def day(df_col: str = "DATEADDED") -> Column:
     return F.to_date(published(df_col))
 
 
+def terms_pattern(terms: list[str] | None = None) -> str:
+    """The terms as one regular expression in which any white space stands for a blank."""
+    return "(?i)" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in terms or TERMS)
+
+
+def mentions(text: Column, terms: list[str] | None = None) -> Column:
+    """Whether a text holds a term by :func:`terms_pattern`; false for null."""
+    return F.coalesce(text.rlike(terms_pattern(terms)), F.lit(False))
+
+
 def region_legs() -> dict[str, Column]:
     """The legs of the filter: position in the box, country code, term in place name or URL. False where unknown."""
     name, url = F.lower(F.coalesce("ActionGeo_FullName", F.lit(""))), F.lower(F.coalesce("SOURCEURL", F.lit("")))

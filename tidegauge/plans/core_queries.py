@@ -570,6 +570,24 @@ def patch_cut(spark, d):
     return p.select("chip", "label", F.size("pixels").alias("n"), r4(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x[0])).alias("sum_vv"))
 
 
+@query()
+def negative_patches(spark, d):
+    found = raster.objects(raster.cfar(chips(spark, d), k=3.0), least=1)
+    return raster.negatives(raster.water_masks(chips(spark, d), smooth=5, least_land=20), found, 16, 12, SIDE, SIDE)
+
+
+@query("""with k as (select distinct o_orderpriority, cast(o_orderdate as date) as day from orders), t as (select *, row_number() over (order by day desc, o_orderpriority desc) as r, count(*) over () as n from k)
+select o_orderkey, r <= greatest(1, cast(floor(n * 0.25) as bigint)) as is_test from orders o join t on t.o_orderpriority = o.o_orderpriority and t.day = cast(o.o_orderdate as date)""")
+def split_by_date(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    return raster.split_by_date(o, ["o_orderpriority"], "day").select("o_orderkey", "is_test")
+
+
+@query("""select doc_id, coalesce(regexp_matches(text, '(?i)oil\\s+price|war\\s+risk|live\\s+firing'), false) as hit from documents""")
+def term_mentions(spark, d):
+    return table(spark, d, "documents").select("doc_id", ev.mentions(F.col("text"), ["oil price", "war risk", "live firing"]).alias("hit"))
+
+
 @query(f"""with {_CHIPS} select chip, r as "row", c as col, round(10 * log10(greatest(vv, 1e-6)), 4) + 0.0 as db, round(least(1, greatest(0, (10 * log10(greatest(vv, 1e-6)) + 35) / 40)), 4) + 0.0 as scaled from chips""")
 def db_clip_norm(spark, d):
     db = fn.decibel(F.col("vv"))
