@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import broadcast_if_small, shared_dir, written
@@ -121,28 +121,36 @@ def found(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target
 BIN_COLUMN = "compact_bin"
 
 
-def once(df: DataFrame, key: list[str], bins: DataFrame) -> DataFrame:
+def repeated(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key): keys that several rows share. Counted before the shuffle, keys only."""
+    full = " and ".join(f"`{k}` is not null" for k in key)
+    return df.filter(full).groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key)
+
+
+def once(df: DataFrame, key: list[str], bins: DataFrame, twice: DataFrame, narrow: bool = False) -> DataFrame:
     """``df`` with ``compact_bin``, each record once: the copy of the file written last (then the later name).
 
-    Rows without a full key can't be told apart and are all kept. Files outside the manifest are not touched. Other columns
-    may have any name but ``compact_bin``.
+    Only rows of the keys in ``twice`` (of :func:`repeated`) are ranked, all others pass as they are; rows without a full key can't be
+    told apart and are all kept. Files outside the manifest are not touched. Other columns may have any name but
+    ``compact_bin``. ``narrow`` keeps the bin and a hash of the whole row (``__h``) alone: the same choice of rows without
+    moving them, to verify against.
     """
     if BIN_COLUMN in df.columns:
         raise ValueError(f"a column is named {BIN_COLUMN}")
     b = bins.select(F.col("file_name").alias("src_file"), F.col("bin").alias(BIN_COLUMN), F.col("written_at").alias("__written"))
-    own = df.join(broadcast_if_small(b), "src_file")
-    has_key = F.lit(True)
-    for k in key:
-        has_key = has_key & F.col(k).isNotNull()
-    cols = [*df.columns, BIN_COLUMN]
+    own = df.withColumn("__h", F.xxhash64(*df.columns))
+    own = own.select(*key, "src_file", "__h") if narrow else own
+    own = own.join(broadcast_if_small(b), "src_file")
+    cols = [BIN_COLUMN, "__h"] if narrow else [*df.columns, BIN_COLUMN]
+    twice = broadcast_if_small(twice)
     # ties of time and file are settled by the whole row, so a rerun keeps the same copy
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("__written").desc(), F.col("src_file").desc(), F.xxhash64(*df.columns)))
-    keyed = own.filter(has_key).withColumn("__r", rank).filter("__r = 1").select(cols)
-    return keyed.unionByName(own.filter(~has_key).select(cols))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("__written").desc(), F.col("src_file").desc(), F.col("__h")))
+    best = own.join(twice, key, "left_semi").withColumn("__r", rank).filter("__r = 1").select(cols)
+    return own.join(twice, key, "left_anti").select(cols).unionByName(best)
 
 
-def _sums(df: DataFrame, cols: list[str]) -> DataFrame:
-    h = F.xxhash64(*cols)
+def _sums(df: DataFrame, h: Column) -> DataFrame:
+    """Rows and two checksums of the row hashes of each bin."""
     return df.groupBy(F.col(BIN_COLUMN).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("s"))
 
 
@@ -155,13 +163,14 @@ def compact(df: DataFrame, name: str, key: list[str], bins: DataFrame, target_di
     """
     spark = df.sparkSession
     own = bins.filter(F.col("dataset") == name)
-    clean = once(df, key, own)
+    twice = written(repeated(df, key), "repeated")
+    clean = once(df, key, own, twice)
     cols = df.columns
     root = target_dir or f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}"
     staging, final = f"{root}/_staging-{name}", f"{root}/{name}"
     clean.repartition(BIN_COLUMN).write.partitionBy(BIN_COLUMN).parquet(staging)
     back = spark.read.schema(clean.schema).parquet(staging)
-    want, got = _sums(clean, cols), _sums(back, cols).withColumnsRenamed({"n": "n2", "x": "x2", "s": "s2"})
+    want, got = _sums(once(df, key, own, twice, narrow=True), F.col("__h")), _sums(back, F.xxhash64(*cols)).withColumnsRenamed({"n": "n2", "x": "x2", "s": "s2"})
     both = written(want.join(got, "bin", "full"), "verify")
     bad = both.filter(~(F.col("n").eqNullSafe(F.col("n2")) & F.col("x").eqNullSafe(F.col("x2")) & F.col("s").eqNullSafe(F.col("s2"))))
     if not bad.isEmpty():
