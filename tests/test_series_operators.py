@@ -157,6 +157,20 @@ def test_blocks_of_a_hot_source_change_nothing(spark, sf):
     assert key(anomalies.flag(p.limit(0), m.limit(0))) == []
 
 
+@pytest.mark.parametrize("per_block", [70, 150, 250])
+def test_spikes_of_days_across_cuts_of_dense_days(spark, per_block):
+    rows = []
+    for series, length in (("two", 2), ("three", 3)):
+        for day in range(40):
+            high = day % 8 in range(5, 5 + length)  # 5 and 6; 5 to 7: any cut between days falls into some
+            rows += [(len(rows) + i, dt.datetime(2015, 1, 1) + dt.timedelta(days=day, minutes=i), 10.0 + day % 2 + i / 1000 + 90 * high, series) for i in range(70)]
+    m = spark.createDataFrame(rows, "obs_id long, date timestamp_ntz, value double, series_id string")
+    p = spark.createDataFrame([], "msg_id long, mmsi string, ts_utc timestamp_ntz, sog double, draught double")
+    ids = lambda n: {r["row_id"] for r in anomalies.flag(p, m, rows_per_block=n).collect() if r["reason"] == "spike"}
+    want = {i for i, _, v, _ in rows if v > 90} - {i for i, d, _, s in rows if s == "three" and d >= dt.datetime(2015, 2, 7)}  # nothing follows the last
+    assert want and ids(10**9) == want and ids(per_block) == want
+
+
 def test_copies_are_flagged_and_nulls_are_not(spark):
     rows = [(i, "a", dt.datetime(2015, 1, 1, i), s, d) for i, (s, d) in enumerate([(5.0, 8.0), (70.0, 8.0), (70.0, None), (None, 20.0), (float("nan"), 8.0), (-0.5, 0.0), (6.0, 8.0)])]
     rows += [(9, "a", dt.datetime(2015, 1, 1, 1), 70.0, 8.0), (10, None, dt.datetime(2015, 1, 1), 999.0, 999.0)]

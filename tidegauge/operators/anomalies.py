@@ -10,7 +10,8 @@ threshold. If that one was accepted the filter's level is within 1 % of it and t
 a candidate itself.
 
 Readings of all fields run through one long table. Hot sources are cut into time blocks with a halo longer than any rule
-looks (operators.blocks), so results don't depend on the cuts.
+looks (operators.blocks): 64 readings, and for spikes counted in days so many whole days, however many readings those hold.
+Results so don't depend on the cuts.
 """
 
 from __future__ import annotations
@@ -189,7 +190,9 @@ def flag(positions: DataFrame, market: DataFrame, rows_per_block: int = 50_000)
     lim = broadcast_if_small(written(limits(positions, market), "limits"))
     d = readings(positions, market).join(lim, ["field", "src"], "left")
     keys = ["field", "src"]
-    blocks = time_blocks(d, keys, F.floor(F.col("ts") / DAY_US), rows_per_block, HALO)
+    days = [r.spike + 2 if r.by_day else 0 for r in RULES.values()]
+    halo_days = F.element_at(F.array(*map(F.lit, days)), F.col("field") + 1)
+    blocks = time_blocks(d, keys, F.floor(F.col("ts") / DAY_US), rows_per_block, HALO, halo_days, max(days))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, off in whole_groups(batches, [*keys, BLOCK]):

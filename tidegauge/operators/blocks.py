@@ -3,7 +3,8 @@
 A source with few rows stays whole (block 0). One with more than ``rows_per_block`` rows is cut at bucket borders (days by
 default) found by a prefix sum over its bucket counts, which are small. With ``halo_rows``, buckets next to a border are
 also sent to the neighbouring blocks with ``core = false``: an operator that looks at most ``halo_rows`` readings back or
-ahead then gets exactly the result of the uncut history.
+ahead then gets exactly the result of the uncut history. A rule that counts buckets instead of readings needs ``halo_buckets``
+whole buckets (a column of the keys) on either side, which may be spread over as many blocks (``reach``).
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from tidegauge.session import broadcast_if_small, written
 BUCKET, BLOCK, CORE = "__bucket", "__block", "__core"
 
 
-def block_map(counts: DataFrame, keys: list[str], rows_per_block: int, halo_rows: int) -> DataFrame:
-    """(keys, bucket, targets) for the sources that must be cut; ``counts`` holds (keys, bucket, n)."""
+def block_map(counts: DataFrame, keys: list[str], rows_per_block: int, halo_rows: int, halo_buckets: Column | None = None, reach: int = 0) -> DataFrame:
+    """(keys, bucket, targets) for the sources that must be cut; ``counts`` holds (keys, bucket, n).
+
+    ``halo_buckets``: so many whole buckets are sent at least, whatever they hold; at most ``reach``.
+    """
+    buckets = F.lit(0) if halo_buckets is None else halo_buckets
     src = Window.partitionBy(*keys)
     order = src.orderBy(BUCKET)
     piece = Window.partitionBy(*keys, "own")
@@ -30,36 +35,33 @@ def block_map(counts: DataFrame, keys: list[str], rows_per_block: int, halo_rows
         counts.withColumn("total", F.sum("n").over(src))
         .filter(F.col("total") > rows_per_block)
         .withColumn("before", F.sum("n").over(order) - F.col("n"))
+        .withColumn("pos", F.row_number().over(order))
         .withColumn("own", F.dense_rank().over(src.orderBy(F.floor(F.col("before") / rows_per_block))) - 1)
         .withColumn("lo", F.min("before").over(piece))
         .withColumn("hi", F.max(F.col("before") + F.col("n")).over(piece))
+        .withColumn("from", F.min("pos").over(piece))
+        .withColumn("to", F.max("pos").over(piece))
     )
-    # the extents of the two blocks before and after, read off the neighbouring buckets
-    edges = d.select(*keys, "own", "lo", "hi").distinct()
+    # the extents of the blocks before and after: two hold more than rows_per_block rows, each one bucket at least
+    reach = max(1, reach, 2 * -(-halo_rows // rows_per_block))
+    edges = d.select(*keys, "own", "lo", "hi", "from", "to").distinct()
     by_block = Window.partitionBy(*keys).orderBy("own")
-    edges = edges.withColumn("hi2", F.lead("hi").over(by_block)).withColumn("lo2", F.lag("lo").over(by_block))
-    d = d.drop("lo", "hi").join(edges, [*keys, "own"])
+    extents = F.collect_list(F.struct("own", "lo", "hi", "from", "to"))
+    edges = edges.withColumn("next", extents.over(by_block.rowsBetween(1, reach))).withColumn("prev", extents.over(by_block.rowsBetween(-reach, -1)))
+    d = d.drop("lo", "hi", "from", "to").join(edges.select(*keys, "own", "next", "prev"), [*keys, "own"])
     end = F.col("before") + F.col("n")
-    own = F.col("own")
 
     def target(block: Column, core: bool) -> Column:
         return F.struct(block.cast("int").alias(BLOCK), F.lit(core).alias(CORE))
 
-    last = F.max("own").over(src)
-    targets = [
-        target(own, True),
-        F.when((own < last) & (F.col("hi") - end < halo_rows), target(own + 1, False)),
-        F.when((own > 0) & (F.col("before") - F.col("lo") < halo_rows), target(own - 1, False)),
-        F.when((own + 1 < last) & (F.col("hi2") - end < halo_rows), target(own + 2, False)),
-        F.when((own > 1) & (F.col("before") - F.col("lo2") < halo_rows), target(own - 2, False)),
-    ]
-    none = F.lit(None).cast(f"struct<{BLOCK}:int,{CORE}:boolean>")
-    every = F.array(*(t if i == 0 else F.coalesce(t, none) for i, t in enumerate(targets)))
-    return d.select(*keys, BUCKET, F.filter(every, lambda x: x.isNotNull()).alias("__targets"))
+    near_next = F.filter("next", lambda b: (b["lo"] - end < halo_rows) | (b["from"] - F.col("pos") <= buckets))
+    near_prev = F.filter("prev", lambda b: (F.col("before") - b["hi"] < halo_rows) | (F.col("pos") - b["to"] <= buckets))
+    halo = F.transform(F.concat(near_next, near_prev), lambda b: target(b["own"], False))
+    return d.select(*keys, BUCKET, F.concat(F.array(target(F.col("own"), True)), halo).alias("__targets"))
 
 
 def time_blocks(
-    df: DataFrame, keys: list[str], bucket: Column, rows_per_block: int = 50_000, halo_rows: int = 0
+    df: DataFrame, keys: list[str], bucket: Column, rows_per_block: int = 50_000, halo_rows: int = 0, halo_buckets: Column | None = None, reach: int = 0
 ) -> DataFrame:
     """``df`` with ``__block`` and ``__core``; rows next to a cut occur again, with ``__core = false``, in the other block.
 
@@ -67,7 +69,7 @@ def time_blocks(
     """
     d = df.withColumn(BUCKET, bucket)
     counts = d.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    cut = written(block_map(counts, keys, rows_per_block, halo_rows), "blocks")
+    cut = written(block_map(counts, keys, rows_per_block, halo_rows, halo_buckets, reach), "blocks")
     if cut.isEmpty():
         return d.drop(BUCKET).withColumn(BLOCK, F.lit(0)).withColumn(CORE, F.lit(True))
     whole = F.array(F.struct(F.lit(0).alias(BLOCK), F.lit(True).alias(CORE)))
