@@ -94,6 +94,23 @@ def test_leaks_of_nine_words_slots_and_cases(spark, monkeypatch):
     assert leakage.found(d.limit(0), e).count() == 0 == leakage.found(d, e.limit(0)).count()
 
 
+def test_slots_filled_with_unknown_names_and_other_numbers_of_words(spark, monkeypatch):
+    item = "When Velmar reached the old tower at nine she had counted 1,200 lanterns and left for the pier after twenty five minutes"
+    swaps = {
+        1: ("Velmar", "Jostan"), 2: ("1,200", "900"), 3: ("twenty five", "seven"), 4: ("twenty five minutes", "5km"), 5: ("1,200", "3.5"),
+        6: ("Velmar", "Anna Maria Qandil"), 7: ("nine", "two hundred and six"), 8: ("tower", "bridge"), 9: ("Velmar", "Velmar"), 10: ("Velmar", "VELMAR"),
+    }
+    first, last = " ".join(item.split()[:11]), " ".join(item.split()[9:])
+    part = lambda k: last if k in (2, 3, 4, 5) else first
+    d = spark.createDataFrame([(k, f"{part(k).replace(*v)}.") for k, v in swaps.items()], "doc_id long, text string")
+    e = spark.createDataFrame([(7, item)], "item_id long, text string")
+    want = {1, 2, 3, 4, 5, 6, 7}
+    got = lambda: {r["doc_id"] for r in leakage.reparameterised(d, e).collect()}
+    assert got() == want
+    monkeypatch.setattr(leakage, "MAX_ITEM_WINDOWS", 2)  # names are known beyond any number of items
+    assert got() == want
+
+
 def test_consistent_slots():
     assert leakage.consistent("a one b one", "a two b two") and not leakage.consistent("a one b one", "a two b six")
     assert not leakage.consistent("a one b two", "a six b six")
