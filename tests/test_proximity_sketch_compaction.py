@@ -117,6 +117,17 @@ def test_ledger_and_compaction(spark, tmp_path):
     assert compaction.found(e.limit(0), p.limit(0), s.limit(0)).count() == 0
 
 
+def test_rows_outside_the_list_of_files_are_compacted(spark):
+    e, p, s = tables(spark)
+    want = sorted(map(tuple, compaction.found(e, p, s).collect()))
+    lost = F.col("file_name").isin("e/dt=2015-03-01/b", "p/dt=2015-03-01/y")
+    other = s.filter(~lost).withColumn("dataset", F.when(F.col("file_name") != "e/dt=2015-03-01/a", F.col("dataset")))
+    e2 = e.unionByName(e.filter("GlobalEventID = '3'").withColumn("GlobalEventID", F.lit("4")).withColumn("src_file", F.lit(None).cast("string")))
+    assert sorted(map(tuple, compaction.found(e2, p, other).collect())) == want
+    r = {x["dataset"]: x for x in compaction.compact_all(e2, p, other).groupBy("dataset").agg(F.sum("rows_out").alias("n"), F.sum("files").alias("files")).collect()}
+    assert (r["events"]["n"], r["events"]["files"], r["positions"]["n"], r["positions"]["files"]) == (6, 4, 4, 2)
+
+
 def test_damage_is_not_committed(spark, tmp_path, monkeypatch):
     e, p, s = tables(spark)
     bins = compaction.plan(compaction.manifest(s))

@@ -35,6 +35,20 @@ def manifest(slot_files: DataFrame) -> DataFrame:
     return m.withColumn("dt", F.regexp_extract("file_name", r"dt=(\d{4}-\d{2}-\d{2})", 1))
 
 
+def complete(files: DataFrame, events: DataFrame, positions: DataFrame) -> DataFrame:
+    """The manifest with every file that rows name: each in the dataset its rows are in, whatever the list says; files that it lacks
+    with their rows counted and their bytes reckoned from these; rows without a file as one of null name."""
+    count = lambda name, df: df.groupBy("src_file").agg(F.count(F.lit(1)).alias("seen")).select(F.lit(name).alias("own"), F.col("src_file").alias("f"), "seen")
+    rows = count("events", events).unionAll(count("positions", positions))
+    per_row = files.agg(F.sum("n_bytes") / F.nullif(F.sum("n_rows"), F.lit(0))).first()[0] or 100.0
+    name = F.coalesce("file_name", "f")
+    return files.join(rows, F.col("file_name") == F.col("f"), "full").select(
+        name.alias("file_name"), F.coalesce("own", "dataset").alias("dataset"), F.coalesce("n_rows", "seen").alias("n_rows"),
+        F.coalesce("n_bytes", F.ceil(F.col("seen") * F.lit(per_row))).alias("n_bytes"), "written_at",
+        F.coalesce("dt", F.regexp_extract(name, r"dt=(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("dt"),
+    )
+
+
 def first_fit_decreasing(sizes: list[int], target: int) -> list[int]:
     """The bin of each size; a size above the target has a bin of its own. A segment tree finds the first bin with room."""
     n = 1
@@ -63,7 +77,8 @@ def plan(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     before = lambda c: F.sum(c).over(order) - F.col(c)
     shelf = F.greatest(F.floor(before("bytes") / (SHELF_BINS * target)), F.floor(before("files") / SHELF_FILES))
     days = days.withColumn("shelf", shelf).withColumn("parts", F.ceil(F.col("files") / SHELF_FILES).cast("int"))
-    dealt = files.join(broadcast_if_small(written(days.select("dataset", "dt", "shelf", "parts"), "shelves")), ["dataset", "dt"])
+    shelves = written(days.select(F.col("dataset").alias("ds"), F.col("dt").alias("day"), "shelf", "parts"), "shelves")
+    dealt = files.join(broadcast_if_small(shelves), F.col("dataset").eqNullSafe(F.col("ds")) & F.col("dt").eqNullSafe(F.col("day"))).drop("ds", "day")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("file_name"), F.col("parts")).cast("int"))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +117,7 @@ def ledger(events: DataFrame, positions: DataFrame, bins: DataFrame) -> DataFram
     i = sets.select("records", "fs", F.posexplode("fs").alias("at", "lo"))
     pairs = i.select("lo", F.explode(F.slice("fs", F.col("at") + 2, F.size("fs"))).alias("hi"), "records")
     pairs = two.unionByName(pairs).groupBy("lo", "hi").agg(F.sum("records").alias("records"))
-    names = bins.select(F.xxhash64("file_name").alias("h"), "file_name", "bin")
+    names = bins.filter("file_name is not null").dropDuplicates(["file_name"]).select(F.xxhash64("file_name").alias("h"), "file_name", "bin")
     a = names.select(F.col("h").alias("lo"), F.col("file_name").alias("fa"), F.col("bin").alias("ba"))
     b = names.select(F.col("h").alias("hi"), F.col("file_name").alias("fb"), F.col("bin").alias("bb"))
     d = pairs.join(a, "lo").join(b, "hi")
@@ -113,7 +128,7 @@ def ledger(events: DataFrame, positions: DataFrame, bins: DataFrame) -> DataFram
 
 def found(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(file_a, file_b): the pairs of the ledger of the compaction planned by ``plan``."""
-    bins = written(plan(manifest(slot_files), target), "bins")
+    bins = written(plan(complete(manifest(slot_files), events, positions), target), "bins")
     return ledger(events, positions, bins).select("file_a", "file_b")
 
 
@@ -131,16 +146,16 @@ def once(df: DataFrame, key: list[str], bins: DataFrame, twice: DataFrame, narro
     """``df`` with ``compact_bin``, each record once: the copy of the file written last (then the later name).
 
     Only rows of the keys in ``twice`` (of :func:`repeated`) are ranked, all others pass as they are; rows without a full key can't be
-    told apart and are all kept. Files outside the manifest are not touched. Other columns may have any name but
+    told apart and are all kept. Files outside ``bins`` are not touched (:func:`complete` leaves none out). Other columns may have any name but
     ``compact_bin``. ``narrow`` keeps the bin and a hash of the whole row (``__h``) alone: the same choice of rows without
     moving them, to verify against.
     """
     if BIN_COLUMN in df.columns:
         raise ValueError(f"a column is named {BIN_COLUMN}")
-    b = bins.select(F.col("file_name").alias("src_file"), F.col("bin").alias(BIN_COLUMN), F.col("written_at").alias("__written"))
+    b = bins.select(F.col("file_name").alias("__file"), F.col("bin").alias(BIN_COLUMN), F.col("written_at").alias("__written"))
     own = df.withColumn("__h", F.xxhash64(*df.columns))
     own = own.select(*key, "src_file", "__h") if narrow else own
-    own = own.join(broadcast_if_small(b), "src_file")
+    own = own.join(broadcast_if_small(b), F.col("src_file").eqNullSafe(F.col("__file"))).drop("__file")
     cols = [BIN_COLUMN, "__h"] if narrow else [*df.columns, BIN_COLUMN]
     twice = broadcast_if_small(twice)
     # ties of time and file are settled by the whole row, so a rerun keeps the same copy
@@ -185,13 +200,13 @@ def compact(df: DataFrame, name: str, key: list[str], bins: DataFrame, target_di
     note = fs.create(path(f"{root}/_MANIFEST-{name}.json"))
     note.write(bytearray(json.dumps({"dataset": name, "path": final, "key": key}).encode()))
     note.close()
-    per_bin = own.groupBy("bin").agg(F.count(F.lit(1)).alias("files"), F.sum("n_rows").alias("rows_in"))
+    per_bin = own.groupBy("bin").agg(F.count("file_name").alias("files"), F.sum("n_rows").alias("rows_in"))
     return per_bin.join(both, "bin", "left").select(F.lit(name).alias("dataset"), "bin", "files", "rows_in", F.coalesce("n", F.lit(0)).alias("rows_out"), F.col("x").alias("checksum"), F.lit(final).alias("path"))
 
 
 def compact_all(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """Both datasets compacted; the reports of :func:`compact` in one table."""
-    bins = written(plan(manifest(slot_files), target), "bins")
+    bins = written(plan(complete(manifest(slot_files), events, positions), target), "bins")
     root = f"{shared_dir(events.sparkSession)}/compact-{uuid.uuid4().hex}"
     a = compact(events, "events", ["GlobalEventID"], bins, root)
     return a.unionByName(compact(positions, "positions", ["mmsi", "ts_utc"], bins, root))
