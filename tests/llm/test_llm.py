@@ -180,6 +180,16 @@ def test_held_out_labels(spark):
     assert tp / sum(test.values()) > 0.55
 
 
+def test_training_texts_are_whole(spark, monkeypatch):
+    late = "The crane is idle. " * 2000 + "Shut up, you idiot."
+    d = spark.createDataFrame([(1, late), (2, "ok"), (3, "fine " * 9), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 0, 0)], "doc_id long, abusive long, hateful long, sexual long")
+    assert toxicity.sample(d, labels) == [(late, True), ("ok", False), ("fine " * 9, False)]
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_TOTAL", 10)  # whole documents are left out, none is cut
+    few = toxicity.sample(d, labels)
+    assert (late, True) in few and len(few) == 2 and {t for t, _ in few} < {late, "ok", "fine " * 9}
+
+
 def test_scores_of_odd_texts(spark):
     rows = [(1, "s", None), (2, "s", ""), (3, None, " \n"), (4, "s", "ok"), (5, "t", "Shut up, you stupid fucking idiot."), (5, "t", "Shut up, you stupid fucking idiot."), (6, "t", "The crane is idle. " * 3000)]
     d = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, source string, text string, score double")

@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: flagged and other labelled documents, and code points read of each (training only).
-MAX_FLAGGED, MAX_OTHER, MAX_TRAIN_CHARS = 3_000, 3_000, 20_000
+from tidegauge.session import written
+
+#: Bounds of the training sample: flagged and other labelled documents, which are read whole.
+MAX_FLAGGED, MAX_OTHER = 3_000, 3_000
+MAX_TRAIN_TOTAL = 60_000_000  # code points of the whole texts of either kind
 BITS, LONGEST = 18, 48
 THRESHOLD = 0.5
 
@@ -389,13 +392,18 @@ def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
 
 
 def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None, bool]]:
-    """The bounded training sample: of flagged and of other labelled documents the first by a hash of their id."""
+    """The bounded training sample: of flagged and of other labelled documents the first by a hash of their id, with whole texts,
+    as many as ``MAX_TRAIN_TOTAL`` allows (the first always)."""
     y = (F.coalesce("abusive", F.lit(0)) + F.coalesce("hateful", F.lit(0)) + F.coalesce("sexual", F.lit(0))) > 0
     v = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(y).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     own = v.filter("y").orderBy(*order).limit(MAX_FLAGGED).unionAll(v.filter("not y").orderBy(*order).limit(MAX_OTHER))
-    text = documents.select("doc_id", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text")).filter("text is not null")
-    got = text.join(F.broadcast(own), "doc_id").select("doc_id", "text", "y").collect()
+    text = documents.select("doc_id", "text").filter("text is not null")
+    whole = written(text.join(F.broadcast(own), "doc_id").select("doc_id", "text", "y"), "labelled")
+    size = whole.groupBy("doc_id", "y").agg(F.sum(F.length("text")).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy(*order))
+    keep = size.withColumn("upto", upto).filter((F.col("upto") <= MAX_TRAIN_TOTAL) | (F.col("upto") == F.col("n"))).select("doc_id")
+    got = whole.join(F.broadcast(keep), "doc_id").collect()
     return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
 
 
