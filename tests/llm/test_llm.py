@@ -190,6 +190,15 @@ def test_training_texts_are_whole(spark, monkeypatch):
     assert (late, True) in few and len(few) == 2 and {t for t, _ in few} < {late, "ok", "fine " * 9}
 
 
+def test_every_document_has_a_score_and_flagged_ones_have_spans(spark, sf01):
+    got = queries.QUERIES["p10_scores"](spark, sf01).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and all(0 <= r["score"] <= 1 for r in got)
+    flagged = [r for r in got if r["score"] >= toxicity.THRESHOLD]
+    assert {r["doc_id"] for r in flagged} == {r["doc_id"] for r in queries.QUERIES["p10_found"](spark, sf01).collect()}
+    assert flagged and all(r["spans"] and all(0 <= s["start"] < s["end"] <= len(texts[r["doc_id"]]) for s in r["spans"]) for r in flagged)
+
+
 def test_scores_of_odd_texts(spark):
     rows = [(1, "s", None), (2, "s", ""), (3, None, " \n"), (4, "s", "ok"), (5, "t", "Shut up, you stupid fucking idiot."), (5, "t", "Shut up, you stupid fucking idiot."), (6, "t", "The crane is idle. " * 3000)]
     d = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, source string, text string, score double")

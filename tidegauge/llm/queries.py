@@ -28,9 +28,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_offsets, p9_found, p9_reparameterised, p10_found, p10_scores, p10_rates)}
 ORACLES: dict[str, str] = {}
