@@ -141,6 +141,16 @@ def test_flags_equal_the_plain_rules(field):
         assert set(np.flatnonzero(code).tolist()) == plain("", field, rule, ts, v, lim), (trial, ts, v)
 
 
+def test_totals_of_silent_entities_run_out(spark):
+    day = lambda i: dt.datetime(2015, 1, 1) + dt.timedelta(days=i)
+    m = spark.createDataFrame([(day(0), 2.0, "a"), (day(2), 3.0, "a"), (day(90), 1.0, "b"), (day(80), 5.0, "c")], "date timestamp_ntz, value double, series_id string")
+    got = {(r["series_id"], (r["day"] - day(0).date()).days): r for r in rolling.market(m, run_out=True).collect()}
+    assert sorted(got) == [("a", i) for i in range(32)] + [("b", 90)] + [("c", i) for i in range(80, 91)]
+    assert [got["a", i]["sum_30"] for i in (2, 29, 30, 31)] == [5.0, 5.0, 3.0, 3.0] and [got["a", i]["sum_7"] for i in (6, 7, 8, 9)] == [5.0, 3.0, 3.0, 0.0]
+    short = {tuple(r) for r in rolling.market(m).collect()}
+    assert len(short) == 5 and short <= set(map(tuple, got.values())) and rolling.market(m.limit(0), run_out=True).count() == 0
+
+
 def test_kalman_withholds_spikes_and_takes_new_levels():
     v = np.array([10.0] * 5 + [30.0] * 2 + [10.0] * 3 + [20.0] * 8)
     f = anomalies.kalman(v, 5.0, 3)

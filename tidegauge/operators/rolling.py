@@ -58,9 +58,10 @@ def combine(a: tuple, b: tuple) -> tuple:
     return (a[0] + b[0], a[1] + b[1], a[2] if a[2] < b[2] else b[2], a[3] if a[3] > b[3] else b[3])
 
 
-def trailing(df: DataFrame, entity: list[str], day: Column, value: Column, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+def trailing(df: DataFrame, entity: list[str], day: Column, value: Column, days: tuple[int, ...] = (7, 30), run_out: bool = False) -> DataFrame:
     """(entity, day, n_D, sum_D, avg_D, min_D, max_D for each D of ``days``): one row per entity and calendar day, from its
-    first to its last day with a reading; the window of D days ends with the day itself.
+    first to its last day with a reading; the window of D days ends with the day itself. With ``run_out`` an entity that falls silent
+    goes on while its last reading is in a window, at most to the last day of all entities.
 
     A reading is a row with a day and a value that is neither null nor NaN; several of a day all count. Windows without
     a reading have n 0, sum 0 and null average, minimum and maximum. Sums are rounded to 4 decimals, averages are sum / n.
@@ -69,6 +70,9 @@ def trailing(df: DataFrame, entity: list[str], day: Column, value: Column, days:
     v = value.cast("double")
     d = df.select(*entity, day.alias("day"), v.alias("v")).filter(F.col("day").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
     d = d.groupBy(*entity, "day").agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    after, final = 0, None
+    if run_out:
+        after, final = max(days) - 1, d.agg(F.datediff(F.max("day"), F.lit("1970-01-01"))).first()[0]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*entity).schema)
     cols = "".join(f", n_{w} long, sum_{w} double, avg_{w} double, min_{w} double, max_{w} double" for w in days)
 
@@ -82,8 +86,9 @@ def trailing(df: DataFrame, entity: list[str], day: Column, value: Column, days:
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 queues = [TwoStackQueue(combine, EMPTY) for _ in days]
                 nxt = a
-                for x in range(at[a], at[b - 1] + 1):
-                    here = at[nxt] == x
+                end = at[b - 1] if final is None else min(at[b - 1] + after, final)
+                for x in range(at[a], end + 1):
+                    here = nxt < b and at[nxt] == x
                     for w, q, o in zip(days, queues, out):
                         q.drop_before(x - w + 1)
                         if here:
@@ -105,12 +110,12 @@ def trailing(df: DataFrame, entity: list[str], day: Column, value: Column, days:
     return d.repartition(*entity).sortWithinPartitions(*entity, "day").mapInArrow(run, f"{kinds}, day date{cols}")
 
 
-def market(df: DataFrame) -> DataFrame:
+def market(df: DataFrame, run_out: bool = False) -> DataFrame:
     """Trailing 7 and 30 days of ``value`` per series."""
-    return trailing(df, ["series_id"], F.to_date("date"), F.col("value"))
+    return trailing(df, ["series_id"], F.to_date("date"), F.col("value"), run_out=run_out)
 
 
-def events(df: DataFrame) -> DataFrame:
+def events(df: DataFrame, run_out: bool = False) -> DataFrame:
     """Trailing 7 and 30 days of GoldsteinScale and AvgTone per event group: (kind, entity, measure) with kind ``root`` (codes of
     two digits) or ``country``, by day of DATEADDED. Rows without a readable day or the group's key are in no group."""
     day = F.to_date(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")))
@@ -119,4 +124,4 @@ def events(df: DataFrame) -> DataFrame:
     groups = F.array(group("root", F.lpad(F.trim("EventRootCode"), 2, "0")), group("country", F.col("ActionGeo_CountryCode")))
     d = df.select(day.alias("d"), F.explode(groups).alias("g"), "GoldsteinScale", "AvgTone").filter("d is not null and g.entity is not null")
     d = d.select("d", "g", F.explode(F.array(measure("GoldsteinScale"), measure("AvgTone"))).alias("m")).select("d", "g.*", "m.*")
-    return trailing(d, ["kind", "entity", "measure"], F.col("d"), F.col("value"))
+    return trailing(d, ["kind", "entity", "measure"], F.col("d"), F.col("value"), run_out=run_out)

@@ -68,8 +68,17 @@ def p7_events(spark: SparkSession, d: str) -> DataFrame:
     return rolling.events(table(spark, d, "event_rows"))
 
 
+def p7_market_run_out(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.market(table(spark, d, "market_daily"), run_out=True)
+
+
+def p7_events_run_out(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.events(table(spark, d, "event_rows"), run_out=True)
+
+
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_stops, p1_trips, p2_found, p2_grid, p3_found, p3_port_pings, p4_distinct_urls, p5_found, p5_compact, p6_found, p6_reasons, p7_events, p7_market,
+    p7_events_run_out, p7_market_run_out,
 )}
 
 _READINGS = """r as (
