@@ -111,6 +111,20 @@ def test_slots_filled_with_unknown_names_and_other_numbers_of_words(spark, monke
     assert got() == want
 
 
+def test_names_beyond_the_bound_are_joined_with_the_same_result(spark, sf):
+    d, e = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
+    d = d.unionAll(d.limit(3)).unionAll(d.filter("text is null").limit(1))
+    want = sorted(map(tuple, leakage.slot_matches(d, e).collect()))
+    assert want and sorted(map(tuple, leakage.slot_matches(d, e, most_names=10).collect())) == want
+
+
+def test_a_copied_window_is_not_paired_with_others_of_its_item(spark):
+    item = "At noon Anna sold nine old boats to Bob near the pier. At noon Carla sold six old boats to Dan near the pier."
+    e = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "At noon Anna sold nine old boats to Bob near the pier."), (2, "At noon Erin sold two old boats to Finn near the pier.")], "doc_id long, text string")
+    assert {r["doc_id"] for r in leakage.reparameterised(d, e).collect()} == {2}
+
+
 def test_consistent_slots():
     assert leakage.consistent("a one b one", "a two b two") and not leakage.consistent("a one b one", "a two b six")
     assert not leakage.consistent("a one b two", "a six b six")
@@ -150,7 +164,11 @@ def test_marginals_equal_enumeration():
     sents = [["a", "b", "c"], ["b"], ["c", "a"]]
     x, n = toxicity.features(sents)
     c.w[np.unique(x)] = rng.normal(size=len(np.unique(x)))
-    p, trans = c.marginals(x, n)
+    p = c.marginals(x, n)
+    cells, mask, at = toxicity._grid(np.arange(len(p)), np.cumsum(n) - n, n, np.arange(len(n)))
+    grid = np.full(cells.shape, np.nan)
+    grid[mask] = c.unary(x[at])
+    trans = c._transitions(grid, mask, *c._messages(grid), np.ones(len(n)))
     u, at, total = c.unary(x), 0, np.zeros((2, 2))
     for k in n:
         z, m, tt = 0.0, np.zeros(k), np.zeros((2, 2))
@@ -176,7 +194,7 @@ def test_held_out_labels(spark):
     test = {r["doc_id"]: (r["abusive"] + r["hateful"] + r["sexual"]) > 0 for r in labels.filter("doc_id % 3 = 0").collect()}
     flagged = {r["doc_id"] for r in toxicity.found(docs, train).collect()}
     tp = sum(y and k in flagged for k, y in test.items())
-    assert tp / max(1, sum(k in flagged for k in test)) > 0.8  # the labels themselves are off in some cases
+    assert tp / max(1, sum(k in flagged for k in test)) > 0.95  # the labels themselves are off in some cases
     assert tp / sum(test.values()) > 0.55
 
 
@@ -184,12 +202,44 @@ def test_training_texts_are_whole(spark, monkeypatch):
     late = "The crane is idle. " * 2000 + "Shut up, you idiot."
     d = spark.createDataFrame([(1, late), (2, "ok"), (3, "fine " * 9), (4, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 1, 0, 0)], "doc_id long, abusive long, hateful long, sexual long")
-    assert toxicity.sample(d, labels) == [(late, True), ("ok", False), ("fine " * 9, False)]
+    assert toxicity.sample(d, labels) == ([(late, True), ("ok", False), ("fine " * 9, False)], 1.0)
     monkeypatch.setattr(toxicity, "MAX_TRAIN_TOTAL", 10)  # whole documents are left out, none is cut
-    few = toxicity.sample(d, labels)
+    few, _ = toxicity.sample(d, labels)
     assert (late, True) in few and len(few) == 2 and {t for t, _ in few} < {late, "ok", "fine " * 9}
 
 
+def test_sampled_documents_stand_for_all_labels(spark, monkeypatch):
+    d = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 10), 0, 0) for k in range(40)], "doc_id long, abusive long, hateful long, sexual long")
+    monkeypatch.setattr(toxicity, "MAX_OTHER", 6)
+    rows, weight = toxicity.sample(d, labels)
+    assert len(rows) == 16 and weight == 5.0
+
+
+def test_sober_sentences_that_flagged_documents_carry_too_are_no_case():
+    """Labels over-represent flagged documents, and a third of those with the sober sentence are flagged for something else."""
+    sober = "Naked lights are forbidden on deck {} while cargo is handled."
+    toxic = ["Nobody would miss you {}, so leave and never come back.", "The {} folk spoil all they touch and deserve nothing."]
+    rows = [(f"Quay {k} is open. " + (sober.format(k) if k % 2 else "Fog lies over the bay.") + " " + (toxic[k % 4 // 2].format(f"x{k % 7}") if k % 3 == 0 else "The crane is idle."), k % 3 == 0) for k in range(300)]
+    crf = toxicity.train(rows)
+
+    def score(t):
+        x, n = toxicity.features(toxicity.token_sentences(t))
+        return toxicity.sentence_scores(crf.marginals(x, n), n).max()
+
+    assert score(sober.format(999)) < toxicity.THRESHOLD and score("Naked lights are forbidden.") < toxicity.THRESHOLD
+    assert all(score(t.format("y1")) > 0.8 for t in toxic)
+    assert score("Shut up, you stupid bastard.") > 0.5
+
+
+def test_a_field_is_fitted_once(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "s", "Shut up, you idiot."), (2, "s", "ok")], "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(1, 1, 0, 0), (2, 0, 0, 0)], "doc_id long, abusive long, hateful long, sexual long")
+    first = toxicity.fitted(d, labels)
+    assert toxicity.fitted(d, labels) is first
+    assert toxicity.fitted(d, labels.filter("doc_id = 1")) is not first
+
+
 def test_every_document_has_a_score_and_flagged_ones_have_spans(spark, sf01):
     got = queries.QUERIES["p10_scores"](spark, sf01).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()}

@@ -360,38 +360,44 @@ def _prefix_hashes(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 SLOT_WINDOW = "id long, h long, n int, window string, shape string"
 
 
-def slot_windows(df: DataFrame, sets, lengths=None, wanted=None) -> DataFrame:
-    """(id, h, n, window, shape) of the windows of n tokens of (id, text).
+def slot_windows(df: DataFrame, sets=None, lengths=None, wanted=None) -> DataFrame:
+    """(id, h, n, window, shape) of the windows of n tokens of (id, text), or of (id, text, names, common) if ``sets`` isn't given.
 
     Without ``lengths`` (items): from each token on the shortest of at least ten words and ``LEAST_TOKENS`` tokens. With them
     (documents): the windows of those lengths, of the broadcast hashes ``wanted`` only, if given.
     """
 
+    def read(b: pa.RecordBatch, slots: Slots | None) -> Iterator[tuple[int, Slots, list]]:
+        for i, t, *own in zip(*(c.to_pylist() for c in b.columns)):
+            s = slots or Slots(*(np.sort(np.array(x or [], dtype=np.int64).view(np.uint64)) for x in own))
+            for reading in s.readings(t):
+                yield i, s, reading
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots(*sets.value)
+        slots = None if sets is None else Slots(*sets.value)
         want = None if wanted is None else wanted.value
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a in range(0, len(ids), 256):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
                 shapes: list[str] = []
                 fills: list[str] = []
                 sizes: list[int] = []
                 ends: list[int] = []
                 own: list[int] = []
-                for i, t in zip(ids[a : a + 256], texts[a : a + 256]):
-                    for s, f, k in slots.readings(t):
-                        shapes += s
-                        fills += f
-                        sizes += k
-                        ends.append(len(shapes))
-                        own.append(i)
+                codes: list[int] = []
+                for i, known, (s, f, k) in read(whole.slice(a, 256), slots):
+                    shapes += s
+                    fills += f
+                    sizes += k
+                    codes += map(known.hash, s)
+                    ends.append(len(shapes))
+                    own.append(i)
                 if not shapes:
                     continue
                 end = np.array(ends)
                 text_of = np.searchsorted(end, np.arange(len(shapes)), side="right")
                 total = np.r_[0, np.cumsum(sizes)]
                 out: list[tuple] = []
-                for n, acc in _prefix_hashes(np.array([slots.hash(s) for s in shapes], dtype=np.uint64)):
+                for n, acc in _prefix_hashes(np.array(codes, dtype=np.uint64)):
                     if n < LEAST_TOKENS or (lengths is not None and n not in lengths):
                         continue
                     at = np.arange(len(acc))
@@ -411,8 +417,8 @@ def slot_windows(df: DataFrame, sets, lengths=None, wanted=None) -> DataFrame:
     return df.mapInArrow(run, SLOT_WINDOW)
 
 
-def _name_sets(it: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the names of the items and of their common words: eight bytes a distinct word, all of them."""
+def _name_kinds(it: DataFrame) -> DataFrame:
+    """(h, u): the hashes of the words that items write with a capital inside a sentence and never without (u), and of their common words."""
     kinds = it.select("text").mapInArrow(_names, "name string, upper boolean").distinct().groupBy("name").agg(F.min("upper").alias("u"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,16 +426,50 @@ def _name_sets(it: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h = np.array([_word_hash(w) for w in b.column("name").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column("u")], names=["h", "u"])
 
-    t = kinds.mapInArrow(hashed, "h long, u boolean").toArrow()
-    h, u = t.column("h").to_numpy().view(np.uint64), t.column("u").to_numpy().astype(bool)
-    return np.sort(h[u]), np.sort(h[~u])
+    return written(kinds.mapInArrow(hashed, "h long, u boolean"), "item-names")
 
 
-def slot_matches(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_window, item_window): pairs of windows of equal template, names included, each distinct pair once."""
+def with_names(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(id, text, names, common): each text with the hashes of those of its own words that are names or common words of the items.
+
+    For vocabularies of items too large to send out: the distinct words of the texts are joined with them by hash. Repeated rows stay.
+    """
+
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                # the spellings that Slots.parts may look up: of the unmarked, decomposed text, folded word by word
+                t = _unmarked(t or "")
+                t = _drop(unicodedata.normalize("NFKD", t)) if _PLAIN.search(t) else t
+                own = {f for w in _WORD.findall(t) for f in words(w)}
+                own |= {x[2] for f in list(own) if (x := _ATTACHED.fullmatch(f))}
+                if own:
+                    h = np.array([_word_hash(w) for w in own], dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), pa.string()), pa.array(h)], names=["key", "h"])
+
+    keyed = written(texts.withColumn("key", F.uuid()), "texts")
+    word = keyed.select("key", "text").mapInArrow(own_words, "key string, h long").join(kinds, "h")
+    sets = word.groupBy("key").agg(F.collect_list(F.when(F.col("u"), F.col("h"))).alias("names"), F.collect_list(F.when(~F.col("u"), F.col("h"))).alias("common"))
+    return keyed.join(sets, "key", "left").select("id", "text", "names", "common")
+
+
+def slot_matches(documents: DataFrame, eval_items: DataFrame, most_names: int = MAX_ITEM_WINDOWS) -> DataFrame:
+    """(doc_id, item_id, doc_window, item_window): pairs of windows of equal template, names included, each distinct pair once.
+
+    A window of the document that the item holds as it is is a copy, and not paired with other windows of that item. Up to
+    ``most_names`` words of the items are sent out as hashes; beyond that they are joined (:func:`with_names`), with the same result.
+    """
     spark = documents.sparkSession
     it = eval_items.select(F.col("item_id").alias("id"), "text").filter("id is not null")
-    sets = spark.sparkContext.broadcast(_name_sets(it))
+    d = documents.select(F.col("doc_id").alias("id"), "text").filter("id is not null")
+    kinds = _name_kinds(it)
+    sets = None
+    if kinds.limit(most_names + 1).count() <= most_names:
+        t = kinds.toArrow()
+        h, u = t.column("h").to_numpy().view(np.uint64), t.column("u").to_numpy().astype(bool)
+        sets = spark.sparkContext.broadcast((np.sort(h[u]), np.sort(h[~u])))
+    else:
+        it, d = with_names(it, kinds), with_names(d, kinds)
     item_w = written(slot_windows(it, sets).distinct(), "item-slots")
     lengths = {r[0] for r in item_w.select("n").distinct().collect()}
     wanted = None
@@ -437,11 +477,11 @@ def slot_matches(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     if hashes.limit(MAX_ITEM_WINDOWS + 1).count() <= MAX_ITEM_WINDOWS:
         h = np.array([r[0] for r in hashes.collect()], dtype=np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(h))
-    d = documents.select(F.col("doc_id").alias("id"), "text").filter("id is not null")
     doc_w = slot_windows(d, sets, lengths, wanted).distinct()
     i = broadcast_if_small(item_w.select(F.col("id").alias("item_id"), "h", F.col("window").alias("item_window"), "shape"))
     pairs = doc_w.select(F.col("id").alias("doc_id"), "h", F.col("window").alias("doc_window"), "shape").join(i, ["h", "shape"])
-    return pairs.drop("h", "shape").distinct()  # a pair may occur in several readings
+    copies = broadcast_if_small(item_w.select(F.col("id").alias("item_id"), F.col("window").alias("doc_window")).distinct())
+    return pairs.drop("h", "shape").join(copies, ["item_id", "doc_window"], "left_anti").distinct()  # a pair may occur in several readings
 
 
 def reparameterised(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
@@ -451,7 +491,7 @@ def reparameterised(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     A passage is ten words of the item or more; a slot may be filled with another number of words. Names of documents are told by
     their own capitals; in a text written without capitals, or in a script that has none, only names of the items are known.
     """
-    m = slot_matches(documents, eval_items).filter("doc_window <> item_window")
+    m = slot_matches(documents, eval_items)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,14 +1,14 @@
 """Abusive, hateful or sexual content.
 
 Method: a linear-chain conditional random field tags the tokens of toxic spans. Forward-backward marginals give every token's
-probability; a document's score is that of its worst
-sentence (the mean of the three highest marginals in it), and the tokens above the threshold are the offending offsets.
+probability; a document's score is that of its worst sentence (the mean of the three highest marginals in it), and the tokens
+above the threshold are the offending offsets.
 
-Labels are verdicts on whole documents, and not free of mistakes. Labelled tokens are made from them in two rounds: word n-grams are
-weighed by how much more often flagged documents hold them, the sentences of flagged documents that stand out become toxic spans,
-those of other documents harmless ones; sentences that stand out less, or contradict their document's verdict are left out. The field trained on
-these is then applied to the training documents, the spans are drawn anew and it is trained again. A small set of example
-sentences written for this module, and the strong words of its lexicon, are added, so that tables with few labels work too.
+Labels are verdicts on whole documents, and not free of mistakes. Labelled tokens are made from them in rounds, each document by what
+the others teach: first word n-grams are weighed by how much more often flagged documents hold them, then fields are applied. The sentences of
+flagged documents that stand out become toxic spans; those that don't, and every sentence of other documents, are harmless ones, weighed
+as in all labels, so that a sentence is held toxic only if mostly flagged documents carry it. A small set of example sentences written
+for this module, and the words of its lexicon, are added, so that tables with few labels work too.
 
 Tokens are compared in a plain form: case, accents and invisible characters are dropped, look-alike letters of other scripts,
 digits and signs in place of letters, letters set apart and drawn-out letters are undone.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +32,15 @@ from pyspark.sql import functions as F
 from tidegauge.session import written
 
 #: Bounds of the training sample: flagged and other labelled documents, which are read whole.
-MAX_FLAGGED, MAX_OTHER = 3_000, 3_000
+MAX_FLAGGED, MAX_OTHER = 3_000, 12_000
 MAX_TRAIN_TOTAL = 60_000_000  # code points of the whole texts of either kind
 BITS, LONGEST = 18, 48
-THRESHOLD = 0.5
+THRESHOLD = 0.4
+FOLDS, EXAMPLE_WEIGHT = 2, 3
+#: Marks from which a sentence of a flagged document is toxic, and under which it is harmless; of n-gram odds and of the field.
+CUT_ODDS, CUT_FIELD = (2.0, 0.9), (0.5, 0.3)
+
+Labelled = tuple[list[list[str]], bool]
 
 # Look-alikes of Latin letters in other scripts, and signs used for letters.
 LOOKALIKE = str.maketrans("авекмнорстухіјѕԁɡһαβεικνορτυχ", "abekmhopctyxijsdghabeikvoptux")
@@ -71,13 +76,6 @@ puta putas mierda cabron gilipollas joder follar follarte polla zorra maricon pe
 сука блядь хуй пизда ебать ублюдок мразь шлюха шлюхи дебил тварь твари нелюди трахать порно говно мудак
 شرموطة عاهرة عاهرات قحبة إباحية زب كس خنزير حقير
 arschloch scheisse ficken fotze hure hurensohn wichser schlampe schwuchtel missgeburt""".split()
-WEAK = """idiot idiots stupid loser coward bastard scum vermin parasites filth savages animals rats nude nudes naked sex sexy cock suck sucked lick licked
-wet panties rot thieves exterminate drown wipe choke pathetic useless worthless disgusting
-idiote con cochon parasites vermine nue nues sale sales eliminer ordure lache voleurs
-idiota cobarde basura ratas rata parasitos desnuda desnudas cerebro
-идиот тупой тупая паразиты голые голая крысы
-غبي حمار كلب كلاب أحمق قذر حشرات عارية
-idiot dumm schwein ungeziefer nackt nackte ratten""".split()
 YOU = """you your youre u tu te ton ta toi vous votre usted tu eres ты тебя тебе твой вы أنت انت du dich dir dein""".split()
 
 _CYRILLIC_GREEK = re.compile(r"[Ͱ-ԯ]")
@@ -155,8 +153,8 @@ def sentences(text: str | None) -> list[list[tuple[str, int, int]]]:
 
 @lru_cache(maxsize=1)
 def _lexicon() -> dict[str, int]:
-    """Plain words and their class: 1 strong, 2 weak, 3 second person."""
-    return {plain(w): k for k, ws in ((3, YOU), (2, WEAK), (1, STRONG)) for w in ws}
+    """Plain words and their class: 1 strong, 2 second person."""
+    return {plain(w): k for k, ws in ((2, YOU), (1, STRONG)) for w in ws}
 
 
 _plain_cache: dict[str, str] = {}
@@ -230,9 +228,9 @@ def features(sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     mix = lambda k, *xs: _mix(np.uint64(k), *xs)
     lex = h[:, 3]
     begin = end - n
-    # of the sentence: its strong words, weak words (up to two each) and whether someone is addressed
-    many = [np.minimum(np.add.reduceat((lex == k).astype(np.int64), begin[n > 0]), top) for k, top in ((1, 2), (2, 2), (3, 1))]
-    whole = np.repeat((many[0] * 6 + many[1] * 2 + many[2]).astype(np.uint64), n[n > 0])
+    # of the sentence: its strong words (up to two) and whether someone is addressed
+    many = [np.minimum(np.add.reduceat((lex == k).astype(np.int64), begin[n > 0]), top) for k, top in ((1, 2), (2, 1))]
+    whole = np.repeat((many[0] * 2 + many[1]).astype(np.uint64), n[n > 0])
     near = [mix(8, lex, shifted(-1, lex), shifted(1, lex)), mix(9, whole), mix(10, whole, lex)]
     cols = [mix(1, w), mix(2, p1), mix(3, n1), mix(4, p1, w), mix(4, w, n1), mix(5, p2, p1, w), mix(5, w, n1, n2), mix(6, h[:, 1]), mix(7, h[:, 2]), *near]
     return (np.stack(cols, axis=1) >> np.uint64(64 - BITS)).astype(np.int64), n
@@ -257,76 +255,102 @@ class Crf:
     def unary(self, x: np.ndarray) -> np.ndarray:
         return self.w[x].sum(axis=1) + self.bias
 
-    def marginals(self, x: np.ndarray, n: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """P(tag 1) of every token and, if wanted, the expected transitions. Sentences of like length go together, step by step."""
+    def marginals(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """P(tag 1) of every token. Sentences of like length go together, step by step."""
         u = self.unary(x)
-        out, trans = np.zeros(len(u)), np.zeros((2, 2))
+        out = np.zeros(len(u))
         start = np.cumsum(n) - n
-        order = np.argsort(n, kind="stable")
-        for part in np.array_split(order, max(1, min(8, len(n) // 64))) if len(n) else []:
-            m, longest = n[part], int(n[part].max())
-            mask = np.arange(longest)[None, :] < m[:, None]
-            at = (start[part][:, None] + np.arange(longest)[None, :])[mask]
-            grid = np.zeros((len(part), longest))
-            grid[mask] = u[at]
-            p, t = self._forward_backward(grid, mask, m, transitions)
-            out[at] = p[mask]
-            trans += t
-        return out, trans
-
-    def _forward_backward(self, grid: np.ndarray, mask: np.ndarray, n: np.ndarray, transitions: bool) -> tuple[np.ndarray, np.ndarray]:
-        m, longest = grid.shape
-        lse = np.logaddexp
-        a = np.zeros((longest, 2, m))
-        b = np.zeros((longest, 2, m))
-        a[0, 1] = grid[:, 0]
-        for k in range(1, longest):
-            for y in (0, 1):
-                a[k, y] = lse(a[k - 1, 0] + self.t[0, y], a[k - 1, 1] + self.t[1, y]) + (grid[:, k] if y else 0)
+        for own in _like_length(n, 2048):
+            grid, mask, at = _grid(u, start, n, own)
+            ahead, back = self._messages(grid)
+            out[at] = _sigmoid(ahead + back).T[mask]
+        return out
+
+    def _messages(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log odds of tag 1 at each place (places, sentences) from what comes up to it, itself included, and from what comes after it.
+
+        A padded place says nothing (NaN in ``grid``): messages pass the end of a sentence as zero.
+        """
+        g = grid.T
+        longest, m = g.shape
+        t, lse = self.t, np.logaddexp
+        ahead, back = np.zeros((longest, m)), np.zeros((longest, m))
+        pad = np.isnan(g)
+        g = np.where(pad, 0.0, g)
+        for k in range(longest):
+            ahead[k] = g[k]
+            if k:
+                d = ahead[k - 1]
+                ahead[k] += lse(t[0, 1], d + t[1, 1]) - lse(t[0, 0], d + t[1, 0])
         for k in range(longest - 2, -1, -1):
-            for y in (0, 1):
-                v = lse(self.t[y, 0] + b[k + 1, 0], self.t[y, 1] + grid[:, k + 1] + b[k + 1, 1])
-                b[k, y] = np.where(mask[:, k + 1], v, 0.0)
-        last = a[n - 1, :, np.arange(m)]
-        z = lse(last[:, 0], last[:, 1])
-        p = np.exp(np.minimum(0.0, a[:, 1] + b[:, 1] - z)).T
-        trans = np.zeros((2, 2))
-        for k in range(1, longest if transitions else 1):
-            inside = mask[:, k]
-            for i in (0, 1):
-                for j in (0, 1):
-                    e = a[k - 1, i] + self.t[i, j] + (grid[:, k] if j else 0) + b[k, j] - z
-                    trans[i, j] += np.exp(e[inside]).sum()
-        return p, trans
-
-    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, rounds: int = 5, rate: float = 0.3, l2: float = 1e-6, batch: int = 256, seed: int = 7) -> None:
+            v = g[k + 1] + back[k + 1]
+            back[k] = np.where(pad[k + 1], 0.0, lse(t[1, 0], v + t[1, 1]) - lse(t[0, 0], v + t[0, 1]))
+        return ahead, back
+
+    def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 5, rate: float = 0.3, l2: float = 1e-6, batch: int = 256, seed: int = 7) -> None:
+        """Stochastic gradient steps on the likelihood of the tags ``y``, each sentence counted ``weight`` times; a batch holds sentences of like length."""
         rng = np.random.default_rng(seed)
-        gw, gt, gb = np.full(len(self.w), 1e-2), np.full((2, 2), 1e-2), 1e-2
+        gw, gt, gb = np.full(len(self.w), 1e-5), np.full((2, 2), 1e-2), 1e-2
         start = np.cumsum(n) - n
+        mean = weight.sum() / max(1, len(weight))
         for _ in range(rounds):
-            order = rng.permutation(len(n))
-            for s in range(0, len(order), batch):
-                own = order[s : s + batch]
-                rows = np.concatenate([np.arange(start[i], start[i] + n[i]) for i in own])
-                xb, nb, yb = x[rows], n[own], y[rows]
-                p, trans = self.marginals(xb, nb)
-                e = (p - yb) / len(own)
+            batches = _like_length(n, batch, rng)
+            for i in rng.permutation(len(batches)):
+                own = batches[i]
+                cells, mask, at = _grid(np.arange(len(y)), start, n, own)
+                xb = x[at]
+                grid = np.full(cells.shape, np.nan)
+                grid[mask] = self.unary(xb)
+                ahead, back = self._messages(grid)
+                share = weight[own] / (mean * len(own))
+                of = np.broadcast_to(share[:, None], mask.shape)[mask]
+                e = (_sigmoid(ahead + back).T[mask] - y[at]) * of
                 g = np.bincount(xb.ravel(), weights=np.repeat(e, xb.shape[1]), minlength=len(self.w)) + l2 * self.w
                 live = np.flatnonzero(g)
                 gw[live] += g[live] ** 2
                 self.w[live] -= rate * g[live] / np.sqrt(gw[live])
-                seen = np.zeros((2, 2))
-                inner = np.ones(len(yb), dtype=bool)
-                inner[np.cumsum(nb) - nb] = False
-                at = np.flatnonzero(inner)
-                np.add.at(seen, (yb[at - 1].astype(int), yb[at].astype(int)), 1)
-                dt = (trans - seen) / len(own)
+                dt = self._transitions(grid, mask, ahead, back, share)
+                tags = np.zeros(mask.shape, dtype=np.int64)
+                tags[mask] = y[at]
+                inner = mask[:, 1:]
+                pair = (tags[:, :-1] * 2 + tags[:, 1:])[inner]
+                dt -= np.bincount(pair, weights=np.broadcast_to(share[:, None], inner.shape)[inner], minlength=4).reshape(2, 2)
                 gt += dt**2
                 self.t -= 0.1 * dt / np.sqrt(gt)
                 db = e.sum()
                 gb += db**2
                 self.bias -= 0.1 * db / np.sqrt(gb)
 
+    def _transitions(self, grid: np.ndarray, mask: np.ndarray, ahead: np.ndarray, back: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The expected transitions, each sentence counted ``share`` times."""
+        inner = mask[:, 1:].T
+        own = np.broadcast_to(share[None, :], inner.shape)[inner]
+        left, right = ahead[:-1][inner], (grid.T[1:] + back[1:])[inner]
+        e = np.stack([self.t[i, j] + (left if i else 0.0) + (right if j else 0.0) + np.zeros_like(left) for i in (0, 1) for j in (0, 1)])
+        e = np.exp(e - e.max(axis=0)) if e.size else e
+        return ((e / e.sum(axis=0)) @ own).reshape(2, 2)
+
+
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * v))
+
+
+def _like_length(n: np.ndarray, size: int, rng: np.random.Generator | None = None) -> list[np.ndarray]:
+    """Sentence numbers in parts of ``size``, sentences of like length together."""
+    order = rng.permutation(len(n)) if rng is not None else np.arange(len(n))
+    order = order[np.argsort(n[order], kind="stable")]
+    return [order[a : a + size] for a in range(0, len(order), size)]
+
+
+def _grid(values: np.ndarray, start: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences, places) of the values of the sentences ``own``, NaN beyond their ends; where there are values; their places in ``values``."""
+    place = np.arange(int(n[own].max(initial=0)))
+    mask = place[None, :] < n[own][:, None]
+    at = (start[own][:, None] + place[None, :])[mask]
+    grid = np.full(mask.shape, np.nan)
+    grid[mask] = values[at]
+    return grid, mask, at
+
 
 def sentence_scores(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The mean of the three highest token marginals of each sentence (of all, if there are fewer)."""
@@ -343,57 +367,81 @@ def _ngrams(s: list[str]) -> set[tuple[str, ...]]:
     return {tuple(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)}
 
 
-def train(rows: list[tuple[str | None, bool]], rounds: int = 2) -> Crf:
-    """The field from labelled documents (text, flagged) and the example sentences."""
-    docs = [(token_sentences(t), bool(f)) for t, f in rows]
+def _odds(docs: list[Labelled], weight: float) -> Callable[[list[str]], float]:
+    """The score of a sentence: the mean of its three highest log odds of n-grams, flagged against other documents (each counted ``weight`` times)."""
     flagged, other = Counter(), Counter()
     n_f = sum(f for _, f in docs) + 1
-    n_o = sum(not f for _, f in docs) + 1
+    n_o = sum(not f for _, f in docs) * weight + 1
     for ss, f in docs:
         (flagged if f else other).update(set().union(*(_ngrams(s) for s in ss)) if ss else ())
+    memo: dict[tuple[str, ...], float] = {}
 
     def odds(g: tuple[str, ...]) -> float:
-        a, b = flagged[g], other[g]
-        return float(np.log((a + 0.2) / n_f) - np.log((b + 0.2) / n_o)) * min(1.0, max(0.0, (a - 1) / 3))
-
-    memo: dict[tuple[str, ...], float] = {}
+        if g not in memo:
+            a = flagged[g]
+            memo[g] = float(np.log((a + 0.2) / n_f) - np.log((other[g] * weight + 0.2) / n_o)) * min(1.0, (a - 1) / 3) if a > 1 else 0.0
+        return memo[g]
 
     def score(s: list[str]) -> float:
-        got = sorted((memo[g] if g in memo else memo.setdefault(g, odds(g)) for g in _ngrams(s)), reverse=True)[:3]
+        got = sorted((odds(g) for g in _ngrams(s)), reverse=True)[:3]
         return sum(got) / max(1, len(got))
 
-    examples = [(s, y) for y, t in EXAMPLES for s in token_sentences(t)]
-    examples += [([plain(w)], 1) for w in STRONG] + [([plain(y), plain(w)], 1) for y, w in zip(YOU * 9, STRONG)]
+    return score
+
+
+def _fitted(docs: list[Labelled], marks: list[list[float]], weight: float, cut: tuple[float, float], rounds: int) -> Crf:
+    """The field trained on the sentences of flagged documents that are marked as toxic (from ``cut[0]`` on) or as harmless (under
+    ``cut[1]``), all sentences of other documents, and the examples."""
+    use: Counter[tuple[tuple[str, ...], int]] = Counter()
+    for (ss, f), own in zip(docs, marks):
+        for s, m in zip(ss, own):
+            if f and m >= cut[0]:
+                use[tuple(s), 1] += 1
+            elif not f or m < cut[1]:
+                use[tuple(s), 0] += 1 if f else weight
+    examples = [(tuple(s), y) for y, t in EXAMPLES for s in token_sentences(t)]
+    examples += [((plain(w),), 1) for w in STRONG] + [((plain(y), plain(w)), 1) for y, w in zip(YOU * 9, STRONG)]
+    for e in examples:
+        use[e] += EXAMPLE_WEIGHT
+    x, n = features([list(s) for s, _ in use])
     crf = Crf()
-    for step in range(rounds + 1):
-        if step:
-            every = [s for ss, _ in docs for s in ss]
-            x, n = features(every)
-            marks = iter((sentence_scores(crf.marginals(x, n, False)[0], n) if len(every) else np.zeros(0)).tolist())
-            scored = [[next(marks) for _ in ss] for ss, _ in docs]
-            high, low, rescue = 0.5, 0.3, 0.4
-        else:
-            scored = [[score(s) for s in ss] for ss, _ in docs]
-            high, low, rescue = 2.0, 0.9, 2.0
-        use: list[tuple[list[str], int]] = []
-        for (ss, f), marks_ in zip(docs, scored):
-            best = max(marks_, default=0.0)
-            for s, m in zip(ss, marks_):
-                if f and (m >= high or (m == best and m >= rescue and best < high)):
-                    use.append((s, 1))
-                elif m < low or (not f and m < high):
-                    use.append((s, 0))
-        use += examples * max(3, len(use) // (8 * len(examples)) if len(use) < 20_000 else 3)
-        x, n = features([s for s, _ in use])
-        y = np.repeat(np.array([k for _, k in use], dtype=float), n)
-        crf = Crf()
-        crf.fit(x, n, y, rounds=max(4 if step < rounds else 6, min(60, 150 * 256 // max(1, len(use)))))
+    crf.fit(x, n, np.repeat(np.array([k for _, k in use], dtype=np.int64), n), np.array(list(use.values()), dtype=float), rounds=max(rounds, min(60, 150 * 256 // max(1, len(use)))))
     return crf
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None, bool]]:
+def train(rows: list[tuple[str | None, bool]], weight: float = 1.0, rounds: int = 2) -> Crf:
+    """The field from labelled documents (text, flagged) and the example sentences; documents not flagged count ``weight`` times.
+
+    The sentences of a document are marked by what was learned from the other documents (``FOLDS``), so that none
+    confirms its own verdict, first by the odds of n-grams, then by fields.
+    """
+    docs = [(token_sentences(t), bool(f)) for t, f in rows]
+    fold = [docs[k::FOLDS] for k in range(FOLDS)]
+    rest = [[d for j, own in enumerate(fold) if j != k for d in own] for k in range(FOLDS)]
+    marks = []
+    for own, others in zip(fold, rest):
+        score = _odds(others, weight)
+        marks.append([[score(s) for s in ss] if f else [0.0] * len(ss) for ss, f in own])
+    cut = CUT_ODDS
+    for _ in range(rounds):
+        fields = [_fitted(rest[k], [m for j in range(FOLDS) if j != k for m in marks[j]], weight, cut, 4) for k in range(FOLDS)]
+        marks = [_marked(f, own) for f, own in zip(fields, fold)]
+        cut = CUT_FIELD
+    return _fitted([d for own in fold for d in own], [m for own in marks for m in own], weight, cut, 6)
+
+
+def _marked(crf: Crf, docs: list[Labelled]) -> list[list[float]]:
+    """The score of every sentence of flagged documents."""
+    every = [s for ss, f in docs if f for s in ss]
+    x, n = features(every)
+    got = iter((sentence_scores(crf.marginals(x, n), n) if len(every) else np.zeros(0)).tolist())
+    return [[next(got) if f else 0.0 for _ in ss] for ss, f in docs]
+
+
+def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[str | None, bool]], float]:
     """The bounded training sample: of flagged and of other labelled documents the first by a hash of their id, with whole texts,
-    as many as ``MAX_TRAIN_TOTAL`` allows (the first always)."""
+    as many as ``MAX_TRAIN_TOTAL`` allows (the first always); and how many times each other document stands for itself, so that
+    flagged and other documents weigh as in all labels."""
     y = (F.coalesce("abusive", F.lit(0)) + F.coalesce("hateful", F.lit(0)) + F.coalesce("sexual", F.lit(0))) > 0
     v = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(y).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -404,7 +452,26 @@ def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None, bo
     upto = F.sum("n").over(Window.partitionBy("y").orderBy(*order))
     keep = size.withColumn("upto", upto).filter((F.col("upto") <= MAX_TRAIN_TOTAL) | (F.col("upto") == F.col("n"))).select("doc_id")
     got = whole.join(F.broadcast(keep), "doc_id").collect()
-    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    n = {r["y"]: r["count"] for r in v.groupBy("y").count().collect()}
+    kept = Counter({y: len({r["doc_id"] for r in got if r["y"] == y}) for y in (True, False)})
+    share = {y: max(1, kept[y]) / max(1, n.get(y, 0)) for y in (True, False)}
+    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))], max(1.0, share[True] / share[False])
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Crf:
+    """The field of these labels; the driver keeps the last one under a hash of its sample, so the queries of a session fit it once."""
+    spark = documents.sparkSession
+    rows, weight = sample(documents, labels)
+    key = xxhash.xxh64_hexdigest(repr((rows, weight, FOLDS, EXAMPLE_WEIGHT, CUT_ODDS, CUT_FIELD, BITS)))
+    crf = _held.get((spark.sparkContext.applicationId, key))
+    if crf is None:
+        crf = train(rows, weight)
+        _held.clear()
+        _held[spark.sparkContext.applicationId, key] = crf
+    return crf
+
+
+_held: dict[tuple[str, str], Crf] = {}
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -414,7 +481,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     labels the field is trained on the example sentences alone. Every text is read whole.
     """
     spark = documents.sparkSession
-    crf = train(sample(documents, labels))
+    crf = fitted(documents, labels)
     model = spark.sparkContext.broadcast((np.float32(crf.w), crf.t, crf.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +498,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 spans: list[list[dict[str, int]]] = [[] for _ in parts]
                 if flat:
                     x, n = features(flat)
-                    p, _ = own.marginals(x, n, False)
+                    p = own.marginals(x, n)
                     marks = sentence_scores(p, n)
                     doc = np.repeat(np.arange(len(parts)), [len(ss) for ss in parts])
                     np.maximum.at(scores, doc, marks)
@@ -451,7 +518,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id): documents with abusive, hateful or sexually explicit language: a toxic span or a score of at least a half."""
+    """(doc_id): documents with abusive, hateful or sexually explicit language: a toxic span or a score of at least ``THRESHOLD``."""
     return score(documents, labels).filter(F.col("score") >= THRESHOLD).select("doc_id")
 
 
