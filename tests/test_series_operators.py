@@ -153,11 +153,25 @@ def test_totals_of_silent_entities_run_out(spark):
 
 def test_kalman_withholds_spikes_and_takes_new_levels():
     v = np.array([10.0] * 5 + [30.0] * 2 + [10.0] * 3 + [20.0] * 8)
-    f = anomalies.kalman(v, 5.0, 3)
+    nu, f = anomalies.kalman(v, 5.0, 3)
+    assert (nu[f] > 5.0).all() and (nu[~f] <= 5.0).all()
     assert f[5:7].all() and not f[:5].any() and not f[7:10].any()
     assert f[10:13].all() and not f[13:].any()  # by then the level is uncertain enough
 
 
+def test_the_filter_decides(monkeypatch):
+    """Without flags there is no spike, with innovations that keep a variance nothing is stuck."""
+    rule, v = anomalies.RULES["value"], np.array([10.0, 11, 10, 90, 10, 11, 10] + [12.0] * 12 + [10.0])
+    ts = np.arange(len(v)) * anomalies.DAY_US
+    codes = lambda: set(anomalies.implausible(rule, ts, v, 1.0).tolist())
+    assert codes() == {0, 3, 4}
+    real = anomalies.kalman
+    monkeypatch.setattr(anomalies, "kalman", lambda *a: (real(*a)[0], np.zeros(len(a[0]), dtype=bool)))
+    assert codes() == {0, 3}
+    monkeypatch.setattr(anomalies, "kalman", lambda *a: (np.ones(len(a[0])), real(*a)[1]))
+    assert codes() == {0, 4}
+
+
 def test_blocks_of_a_hot_source_change_nothing(spark, sf):
     p, m = spark.read.parquet(f"{sf}/positions.parquet"), spark.read.parquet(f"{sf}/market_daily.parquet")
     key = lambda df: sorted(map(tuple, df.collect()))

@@ -64,6 +64,26 @@ def test_lone_fix_elsewhere_and_two_of_them(spark):
     assert [k for _, k, *_ in got(trips.stops_and_trips(frame(spark, rows)))] == ["stop", "stop", "trip"]
 
 
+def test_communities_decide(spark, monkeypatch):
+    """Where every median is a place of its own, or all are one, the stops are others."""
+    rows = track("a", PLAN)
+    want = got(trips.stops_and_trips(frame(spark, rows)))
+    t = np.array([r[2].timestamp() for r in rows]).astype(np.int64) * 1_000_000
+    own = lambda: trips._History(t, *trips._unit(*np.array([r[3:5] for r in rows], dtype=float).T), 500.0, 1_800_000_000).settled()
+    assert len(own()) == sum(k == "stop" for _, k, *_ in want) == 3
+    monkeypatch.setattr(trips, "communities", lambda p, w, r: np.arange(len(p)))
+    assert own() == []
+
+
+def test_communities_of_a_proximity_graph():
+    rnd = np.random.default_rng(5)
+    centres = np.array([[0.0, 0, 0], [5_000.0, 0, 0], [0.0, 9_000, 0]])
+    p = np.concatenate([c + rnd.normal(0, 60, (40, 3)) for c in centres])
+    label = trips.communities(p, np.ones(len(p)), 500.0)
+    assert [len(set(label[a : a + 40].tolist())) for a in (0, 40, 80)] == [1, 1, 1] and len(set(label.tolist())) == 3
+    assert trips.communities(p[:2] * [[1, 1, 1], [1, 1, 1]], np.array([3.0, 3.0]), 500.0).tolist() == [0, 0]  # two equal ones near each other are one place
+
+
 def test_silence(spark):
     for hours, kinds in ((23, ["stop"]), (25, ["stop", "stop"])):
         rows = track("a", [("stop", 25.0, 55.0, 60), ("gap", hours), ("stop", 25.0, 55.0, 60)])

@@ -1,13 +1,16 @@
 """Implausible readings: spikes, stuck values and physically impossible readings, per source.
 
-Method: a local-level Kalman filter runs over the readings of each source. Its standardised innovations above a threshold
-mark candidate spikes, whose updates are withheld so that a spike doesn't become the new normal; after ``hold`` withheld
-readings in a row the level is taken anew (a real change of level). Where the variance of the one-step innovations vanishes
-over a window the sensor is stuck. Candidates, widened by the longest spike, then pass the exact rule of their field.
+Method: a local-level Kalman filter runs over the readings of each source. Where its standardised innovations exceed a threshold a
+spike may begin or end; such updates are withheld so that a spike doesn't become the new normal; after ``hold`` withheld
+readings in a row the level is taken anew (a real change of level). Where the variance of the innovations vanishes over half the
+length of a stuck run, the sensor may be stuck. An exact check follows, of the places that the filter tells, nowhere else: blocks that begin at a
+flagged reading, or at the one after it, must be a spike by the rule of their field; a stuck run must hold equal readings, and enough of them.
 
-Widening makes the candidates complete: the first reading of a true spike lies further from the reading before it than the
-threshold. If that one was accepted the filter's level is within 1 % of it and the innovation stands out; if it was withheld it is
-a candidate itself.
+No case is missed: the first reading of a true spike lies further from the reading before it than the threshold. If that one was accepted the
+filter's level is within 1 % of it and the innovation stands out; if it was withheld it is flagged itself. In a stuck run the level is
+taken anew after ``hold`` readings at most and then comes within a millionth of the readings in three steps.
+
+The bounds of possible readings and of a source's own range are limits and not forecasts; they are tested directly.
 
 Readings of all fields run through one long table. Hot sources are cut into time blocks with a halo longer than any rule
 looks (operators.blocks): 64 readings, and for spikes counted in days so many whole days, however many readings those hold.
@@ -29,6 +32,7 @@ from tidegauge.session import broadcast_if_small, written
 
 HALO = 64
 DAY_US = 86_400_000_000
+STILL = 1e-6  # innovations below it, in standard deviations, have no variance
 
 
 @dataclass(frozen=True)
@@ -56,21 +60,23 @@ RULES = {
 FIELDS = list(RULES)
 
 
-def kalman(v: np.ndarray, threshold: float, hold: int, q: float = 1.0, r: float = 0.01) -> np.ndarray:
-    """Flags of the readings whose standardised innovation exceeds the threshold; ``v`` in units of the usual change.
+def kalman(v: np.ndarray, threshold: float, hold: int, q: float = 1.0, r: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """The standardised innovations of the readings ``v`` (in units of the usual change), and flags of those above the threshold.
 
     Local level: level(t) = level(t-1) + w, reading = level + e with variances q and r. Flagged updates are withheld, at most
     ``hold`` in a row; then the level starts anew at the reading (which stays flagged).
     """
-    out = np.zeros(len(v), dtype=bool)
+    out, nus = np.zeros(len(v), dtype=bool), np.zeros(len(v))
     if not len(v):
-        return out
+        return nus, out
     xs = v.tolist()
+    got = [0.0] * len(xs)
     level, p, held, t2 = xs[0], r, 0, threshold * threshold
     for i in range(1, len(xs)):
         p += q
         s = p + r
         nu = xs[i] - level
+        got[i] = nu * nu / s
         if nu * nu > t2 * s:
             out[i] = True
             if held < hold:
@@ -82,20 +88,30 @@ def kalman(v: np.ndarray, threshold: float, hold: int, q: float = 1.0, r: float
         level += k * nu
         p *= 1 - k
         held = 0
-    return out
+    return np.sqrt(np.array(got)), out
 
 
-def runs_of_zero_variance(v: np.ndarray, least: int) -> np.ndarray:
-    """Readings in a run of at least ``least`` whose one-step innovations have no variance about zero."""
-    if not len(v):
-        return np.zeros(0, dtype=bool)
+def stuck_runs(v: np.ndarray, nu: np.ndarray, least: int) -> np.ndarray:
+    """Readings of runs of at least ``least`` equal ones in which the variance of ``least // 2`` successive innovations vanishes."""
+    out = np.zeros(len(v), dtype=bool)
+    w = least // 2
+    if len(v) < least:
+        return out
+    level = (nu > STILL).astype(np.int64)
+    moved = np.r_[0, np.cumsum(level)]
+    still = np.flatnonzero(moved[w:] - moved[:-w] == 0) + w - 1  # the last reading of each window without variance
+    if not len(still):
+        return out
     cut = np.r_[0, np.flatnonzero(np.diff(v) != 0) + 1, len(v)]
-    size = np.diff(cut)
-    return np.repeat(size >= least, size)
+    own = np.unique(np.searchsorted(cut, still, side="right") - 1)
+    for a, b in zip(cut[own].tolist(), cut[own + 1].tolist()):
+        if b - a >= least:
+            out[a:b] = True
+    return out
 
 
-def spikes(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int, up, down) -> np.ndarray:
-    """Steps (readings or days) in blocks of at most ``longest`` that lie to one side of the step before and after.
+def spikes(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int, up, down) -> np.ndarray:
+    """Steps (readings or days) in blocks of at most ``longest``, beginning at one of the steps ``at``, that lie to one side of the step before and after.
 
     ``lo`` and ``hi`` are the extremes of a step, ``first`` and ``last`` its first and last reading. ``up(x, ref)`` tells
     whether x is implausibly above ref, ``down`` below.
@@ -103,23 +119,15 @@ def spikes(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray,
     n = len(lo)
     out = np.zeros(n, dtype=bool)
     for k in range(1, longest + 1):
-        m = n - k - 1  # blocks 1..k, 2..k+1, ...
-        if m <= 0:
+        a = at[(at > 0) & (at + k < n)]
+        if not len(a):
             break
-        low = np.min(np.stack([lo[1 + j : 1 + j + m] for j in range(k)]), axis=0)
-        high = np.max(np.stack([hi[1 + j : 1 + j + m] for j in range(k)]), axis=0)
-        before, after = last[:m], first[1 + k : 1 + k + m]
-        hit = (up(low, before) & up(low, after)) | (down(high, before) & down(high, after))
+        low = np.min(np.stack([lo[a + j] for j in range(k)]), axis=0)
+        high = np.max(np.stack([hi[a + j] for j in range(k)]), axis=0)
+        before, after = last[a - 1], first[a + k]
+        hit = a[(up(low, before) & up(low, after)) | (down(high, before) & down(high, after))]
         for j in range(k):
-            out[1 + j : 1 + j + m] |= hit
-    return out
-
-
-def _widen(c: np.ndarray, by: int) -> np.ndarray:
-    out = c.copy()
-    for j in range(1, by + 1):
-        out[j:] |= c[:-j]
-        out[:-j] |= c[j:]
+            out[hit + j] = True
     return out
 
 
@@ -142,12 +150,13 @@ def implausible(rule: Rule, ts: np.ndarray, v: np.ndarray, limit: float) -> np.n
             unit = last / max(far, 1e-12)
             up, down = (lambda x, r: x - r > far), (lambda x, r: r - x > far)
         if rule.ratio or np.isfinite(limit):
-            candidates = kalman(unit, 0.8, rule.spike)
-            if candidates.any():
-                hit = spikes(lo, hi, first, last, rule.spike, up, down) & _widen(candidates, rule.spike)
-                code[np.repeat(hit, end - cut)] = 4
-    if rule.stuck:
-        code[runs_of_zero_variance(v, rule.stuck) & (v >= rule.stuck_from)] = 3
+            _, flagged = kalman(unit, 0.8, rule.spike)
+            starts = np.flatnonzero(flagged | np.r_[False, flagged[:-1]])
+            if len(starts):
+                code[np.repeat(spikes(starts, lo, hi, first, last, rule.spike, up, down), end - cut)] = 4
+    if rule.stuck and len(v):
+        nu, _ = kalman(v / (np.median(np.abs(v)) or 1.0), 0.8, 0)
+        code[stuck_runs(v, nu, rule.stuck) & (v >= rule.stuck_from)] = 3
     if rule.over and np.isfinite(limit):
         code[v > rule.over * limit] = 2
     code[(v < rule.low) | (v > rule.high) | ((v == rule.low) & rule.low_open)] = 1

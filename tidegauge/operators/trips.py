@@ -3,11 +3,13 @@
 Method: the fixes of a vessel are summed up as stationary medians, the medians form a proximity graph whose communities are
 the vessel's recurring places, contiguous visits to a place are the stops, and trips run between stops.
 
-1. ``stretches`` reads each time block of a vessel once, in order, and sums it up: one row per stationary stretch (its median,
-   first and last fix) and one for either end of each block or silence, where a stretch may go on in the next block. A block
-   gives at most a few rows per half hour of its time, however many pings it has.
-2. ``visits`` gets only these rows: medians are joined to communities, stretches cut by a block border are put together,
-   and what spans the least time is a stop.
+1. ``stretches`` reads each time block of a vessel once, in order. ``_History.pieces`` cuts its fixes into short stationary pieces,
+   ``communities`` finds the places in the proximity graph of the pieces' medians, and successive pieces of one place are a visit.
+   An exact check follows: of a visit there stays the longest stretch of fixes within the radius of its own median, and
+   it must span the least time. One row per such stretch leaves the block, and one for either end of each block or silence,
+   where a stretch may go on in the next block: at most a few rows per half hour of its time, however many pings it has.
+2. ``visits`` gets only these rows: the medians of all blocks are joined to places once more, which number them, stretches cut by
+   a block border are put together if their medians lie within the radius, and what spans the least time is a stop.
 
 Both steps are streams over sorted partitions. A hot vessel is cut into blocks (operators.blocks).
 """
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tidegauge.operators.blocks import BLOCK, by_block, time_blocks, whole_groups
 
 EARTH_M = 6_371_008.8
+PIECE = 1 / 3  # of the least time of a stop, spanned by the pieces whose medians are joined to places
+ROUNDS = 20
 
 STRETCH = (
     f"mmsi string, {BLOCK} int, seg int, t0 timestamp_ntz, t1 timestamp_ntz, n long, settled boolean, x double, y double, z double, "
@@ -55,8 +59,11 @@ class _History:
         self.t, self.x, self.y, self.z = t.tolist(), x.tolist(), y.tolist(), z.tolist()
         self.r2, self.least, self.n = radius * radius, least_us, len(t)
 
-    def grow(self, i: int, step: int, end: int) -> int:
-        """The last fix of the stretch that starts at i: near its running mean; a lone fix elsewhere is passed over."""
+    def grow(self, i: int, step: int, end: int, until: float = float("inf")) -> int:
+        """The last fix of the stretch that starts at i: near its running mean; a lone fix elsewhere is passed over.
+
+        A stretch of two fixes or more ends with the first one later than ``until``.
+        """
         x, y, z, r2 = self.x, self.y, self.z, self.r2
         cx, cy, cz, k, last, j = x[i], y[i], z[i], 1, i, i + step
         while j != end:
@@ -71,6 +78,8 @@ class _History:
             k += 1
             cx, cy, cz = cx + dx / k, cy + dy / k, cz + dz / k
             last = j
+            if self.t[j] > until:
+                break
             j += step
         return last
 
@@ -106,20 +115,49 @@ class _History:
             c = self.centre(s, e)
         return s, e, c
 
-    def settled(self) -> list[tuple[int, int, tuple[float, float, float]]]:
-        """The stretches that span the least time, in order."""
-        out, i, low, n, t = [], 0, 0, self.n, self.t
+    def pieces(self) -> list[tuple[int, int]]:
+        """(first, last) of pieces: successive fixes near their running mean, cut where they span ``PIECE`` of the least time; or one fix
+        near one of the two before it."""
+        out, i, n, t, span = [], 0, self.n, self.t, self.least * PIECE
         while i < n:
-            e = self.grow(i, 1, n)
-            if e > i and 2 * (t[e] - t[i]) >= self.least:
-                s2, e2, c = self.refine(i, e, low, n - 1)
-                if t[e2] - t[s2] >= self.least:
-                    out.append((s2, e2, c))
-                    low = i = e2 + 1
-                    continue
-            i += max(1, (e - i + 1) // 2)
+            e = self.grow(i, 1, n, t[i] + span)
+            if e > i or any(self.near(k, (self.x[i], self.y[i], self.z[i])) for k in range(max(0, i - 2), i)):
+                out.append((i, e))
+            i = e + 1
+        return out
+
+    def settled(self) -> list[tuple[int, int, tuple[float, float, float]]]:
+        """The visits that pass the exact check, in order: contiguous pieces of one place, refined."""
+        pieces = self.pieces()
+        out: list[tuple[int, int, tuple[float, float, float]]] = []
+        if pieces:
+            mid = [[sorted(a[s : e + 1])[(e - s) // 2] for a in (self.x, self.y, self.z)] for s, e in pieces]
+            place = communities(np.array(mid), np.array([e - s + 1.0 for s, e in pieces]), self.r2**0.5).tolist()
+            a = 0
+            for k in range(1, len(pieces) + 1):
+                # a lone fix elsewhere doesn't end a visit
+                if k == len(pieces) or place[k] != place[a] or pieces[k][0] - pieces[k - 1][1] > 2:
+                    self._stays(pieces[a:k], out)
+                    a = k
         return out
 
+    def _stays(self, visit: list[tuple[int, int]], out: list[tuple[int, int, tuple[float, float, float]]]) -> None:
+        """Adds the stops of a visit: what stays within the radius of its median; what is left of it on either side is looked at alike."""
+        todo = [visit]
+        while todo:
+            low = out[-1][1] + 1 if out else 0
+            v = [p for p in todo.pop() if p[0] >= low]
+            if not v or self.t[v[-1][1]] - self.t[v[0][0]] <= 2 * PIECE * self.least:
+                continue
+            s, e, c = self.refine(v[0][0], v[-1][1], low, self.n - 1)
+            before = [p for p in v if p[1] < s]
+            if before:
+                todo += [v[len(before) :], before]
+                continue
+            if self.t[e] - self.t[s] >= self.least:
+                out.append((s, e, c))
+            todo.append([p for p in v if p[0] > e])
+
     def rows(self) -> list[tuple]:
         """(first, last, centre, settled) of the settled stretches and of the stretches at either end."""
         found = [(s, e, c, True) for s, e, c in self.settled()]
@@ -182,42 +220,53 @@ def _segment(mmsi: str, block: int, seg: int, t, x, y, z, radius: float, least:
     return out
 
 
-def communities(x: np.ndarray, y: np.ndarray, z: np.ndarray, weight: np.ndarray, radius: float) -> np.ndarray:
-    """Community numbers of medians: heaviest first, each joins the heaviest leader within ``radius``, else leads a new one.
+def communities(points: np.ndarray, weight: np.ndarray, radius: float) -> np.ndarray:
+    """The community of each median (n, 3) in the proximity graph, numbered from the heaviest on.
 
-    The proximity graph is looked up in a hash grid of cells of ``radius``, so no pair of far medians is compared. Members
-    are all within ``radius`` of their leader: communities can't chain along a coast.
+    Nodes are the medians of one cell of a fifth of ``radius``, edges join nodes within ``radius``, the stronger the nearer. Labels
+    spread along them, weighed by the fixes behind a node, until none changes (``ROUNDS`` at most). Neighbours are looked
+    up in a hash grid, so no pair of far medians is compared.
     """
-    leaders: dict[tuple[int, int, int], list[int]] = {}
-    label = np.full(len(x), -1, dtype=np.int64)
-    cell = np.floor(np.c_[x, y, z] / radius).astype(np.int64)
-    where = [tuple(c) for c in cell.tolist()]
-    pts, r2, leads = np.c_[x, y, z].tolist(), radius * radius, 0
-    lead_at: list[int] = []
-    for i in sorted(range(len(pts)), key=lambda i: (-weight[i], i)):
+    _, node = np.unique(np.floor(points * (5.0 / radius)).astype(np.int64), axis=0, return_inverse=True)
+    node = node.ravel()
+    mass = np.bincount(node, weights=weight)
+    at = np.stack([np.bincount(node, weights=weight * points[:, k]) / mass for k in range(3)], axis=1)
+    n, pts, w = len(mass), at.tolist(), mass.tolist()
+    order = sorted(range(n), key=lambda i: (-w[i], i))
+    where = [tuple(c) for c in np.floor(at / radius).astype(np.int64).tolist()]
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    for i in order:
+        cells.setdefault(where[i], []).append(i)
+    near: list[list[tuple[int, float]]] = []
+    for i in range(n):
         a, b, c = where[i]
-        px, py, pz = pts[i]
-        best, best_d = -1, r2
-        for da in (-1, 0, 1):
-            for db in (-1, 0, 1):
-                for dc in (-1, 0, 1):
-                    for m in leaders.get((a + da, b + db, c + dc), ()):
-                        q = pts[lead_at[m]]
-                        d = (q[0] - px) ** 2 + (q[1] - py) ** 2 + (q[2] - pz) ** 2
-                        if d <= best_d and (best < 0 or m < best):
-                            best = m
-        if best < 0:
-            best = leads
-            lead_at.append(i)
-            leaders.setdefault((a, b, c), []).append(best)
-            leads += 1
-        label[i] = best
-    return label
+        x, y, z = pts[i]
+        own = []
+        for cell in ((a + da, b + db, c + dc) for da in (-1, 0, 1) for db in (-1, 0, 1) for dc in (-1, 0, 1)):
+            for j in cells.get(cell, ()):
+                d = ((pts[j][0] - x) ** 2 + (pts[j][1] - y) ** 2 + (pts[j][2] - z) ** 2) ** 0.5
+                if d <= radius and j != i:
+                    own.append((j, w[j] * (1.0 - d / radius)))
+        near.append(own)
+    rank = {i: k for k, i in enumerate(order)}
+    label = [rank[i] for i in range(n)]
+    for _ in range(ROUNDS):
+        changed = False
+        for i in order:
+            votes: dict[int, float] = {}
+            for j, v in near[i]:
+                votes[label[j]] = votes.get(label[j], 0.0) + v
+            best = min(votes, key=lambda k: (-votes[k], k)) if votes else label[i]
+            if best != label[i]:
+                label[i], changed = best, True
+        if not changed:
+            break
+    return np.unique(np.array(label), return_inverse=True)[1].ravel()[node]
 
 
 def _itinerary(mmsi: str, rows: list[dict], radius: float, least: int, silence: int) -> list[tuple]:
     """Stops and trips of one vessel from its stretch rows, in time order."""
-    label = communities(*(np.array([r[k] for r in rows]) for k in ("x", "y", "z")), np.array([r["n"] for r in rows]), radius)
+    label = communities(np.array([[r[k] for k in "xyz"] for r in rows]), np.array([float(r["n"]) for r in rows]), radius)
     out: list[tuple] = []
     stop = None  # the last finished stop of this run of fixes, with the way since
     cur: dict | None = None
@@ -256,7 +305,7 @@ def _itinerary(mmsi: str, rows: list[dict], radius: float, least: int, silence:
             way = leg(rows[i - 1], r)
             # a lone fix between two stretches of one visit doesn't end it
             ahead = rows[i + 1] if i + 1 < len(rows) else None
-            if cur is not None and _same(cur, r, label[i], radius, dist) and (r["between"] if r["block"] == rows[i - 1]["block"] else 0) + cur["lone"] <= 1 and (r["block"] != cur["block"]):
+            if cur is not None and dist(cur, r) <= radius and (r["between"] if r["block"] == rows[i - 1]["block"] else 0) + cur["lone"] <= 1 and (r["block"] != cur["block"]):
                 total = cur["n"] + r["n"]
                 for k in "xyz":
                     cur[k] = (cur[k] * cur["n"] + r[k] * r["n"]) / total
@@ -266,7 +315,7 @@ def _itinerary(mmsi: str, rows: list[dict], radius: float, least: int, silence:
             if (
                 cur is not None and ahead is not None and r["n"] == 1 and cur["lone"] == 0 and ahead["block"] != cur["block"]
                 and not _silent(r, ahead, silence) and (r["between"] if r["block"] == rows[i - 1]["block"] else 0) == 0
-                and (ahead["between"] if ahead["block"] == r["block"] else 0) == 0 and _same(cur, ahead, label[i + 1], radius, dist)
+                and (ahead["between"] if ahead["block"] == r["block"] else 0) == 0 and dist(cur, ahead) <= radius
             ):
                 cur["lone"] = 1
                 cur["pending"] = way
@@ -286,12 +335,6 @@ def _silent(a: dict, b: dict, silence: int) -> bool:
     return (a["block"], a["seg"]) != (b["block"], b["seg"]) and b["t0"] - a["t1"] > silence
 
 
-def _same(cur: dict, r: dict, place: int, radius: float, dist) -> bool:
-    """Whether a stretch goes on with a visit: the same recurring place, or medians within the radius of each other."""
-    d = dist(cur, r)
-    return d <= radius or (cur["place"] == place and d <= 1.5 * radius)
-
-
 def visits(rows: DataFrame, radius_m: float, least_s: float, silence_s: float) -> DataFrame:
     """Stops and trips (``VISIT``) from stretch rows."""
     least, silence = int(least_s * 1e6), int(silence_s * 1e6)
