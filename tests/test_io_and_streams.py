@@ -72,11 +72,14 @@ def test_stores(spark, tmp_path):
     assert [r["k"] for r in files.read_partitioned(spark, root, start="2015-01-02").collect()] == ["3"]
     assert [r["k"] for r in files.not_stored(spark.createDataFrame([("3",), ("4",)], "k string"), root, ["k"]).collect()] == ["4"]
     assert files.not_stored(a, root + "none", ["k"]).count() == 2
-    assert {r["k"] for r in files.newest_files(spark.read.parquet(root), 1, 8).collect()} == {"3"}
+    assert {r["k"] for r in files.newest_files(spark, root, 1, 8).collect()} == {"3"}
     files.append_json(a, root + "j")
     files.append_json(a, root + "j")
     assert spark.read.json(root + "j").count() == 4
     files.consolidate(a, root + "c", ["k"])
+    assert spark.read.parquet(root + "c").count() == 2
+    with pytest.raises(FileNotFoundError):
+        files.newest_files(spark, root + "c")
     files.report({"n": 1}, spark, root + "r")
     assert json.loads(spark.read.text(root + "r").first()[0]) == {"n": 1}
     v = {r["name"]: r for r in files.volumes(spark, {"s": f"{tmp_path}/s/*/*.parquet", "none": f"{tmp_path}/zz*"}).collect()}
@@ -97,6 +100,74 @@ def test_slots_twice_leave_the_store_as_it_was(spark, sf, tmp_path):
     assert s.count() == batch.count() and s.agg(F.sum("events")).first() == batch.agg(F.sum("events")).first()
 
 
+def test_stored_rows_are_not_written_again(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/event_rows.parquet")
+    root = f"file://{tmp_path}"
+    for k in range(2):
+        e.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        slots.run_slots(slots.file_stream(spark, f"{root}/in", e.schema), f"{root}/store", f"{root}/scores", f"{root}/cp")
+        stored = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+        if k:
+            assert stored == first
+        first = stored
+    assert first
+
+
+def test_due_slots(spark):
+    at = lambda *x: dt.datetime(2015, 3, 1, *x)
+    rows = [(at(10, 0), at(10, 33, 59)), (at(10, 0), at(10, 34, 0)), (at(10, 0), at(10, 20)), (at(10, 7), at(11, 4, 5)), (None, at(11))]
+    d = spark.createDataFrame(rows, "last timestamp_ntz, now timestamp_ntz")
+    got = [[x.minute for x in r[0]] for r in d.select(slots.due_slots(F.col("last"), F.col("now"))).collect()]
+    assert got == [[], [15], [], [15, 30, 45], []]
+
+
+def test_heartbeat_flush_and_snapshot(spark, sf, tmp_path):
+    root = f"file://{tmp_path}"
+    p = spark.read.parquet(f"{sf}/positions.parquet").limit(200)
+    p.repartition(3).write.parquet(f"{root}/in")
+    beat, sizes = slots.Heartbeat(spark, f"{root}/beats"), []
+    spark.streams.addListener(beat)
+    try:
+        q = slots.flushed(slots.file_stream(spark, f"{root}/in", p.schema, 1), lambda df, i: sizes.append(df.count()), f"{root}/cp")
+        assert q.awaitTermination(60)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(beat)
+    assert len(sizes) == 3 and sum(sizes) == 200  # by count: a file a flush
+    beats = spark.read.json(f"{root}/beats").collect()
+    assert beat.beats >= 3 and sum(r["rows"] for r in beats) == 200
+    for k in (50, 200):
+        slots.write_snapshot(p.limit(k), f"{root}/snap")
+    assert slots.read_snapshot(spark, f"{root}/snap").agg(F.sum("n")).first()[0] == 200
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tidegauge import session
+
+    class Sc:
+        def __init__(self, master):
+            self.master = master
+            self._jsc = self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def isEmpty(self):
+            return True
+
+        def get(self, *a):
+            return None
+
+    class Session:
+        sparkContext = Sc("spark://x:7077")
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    d = session.written(spark.range(3), "t")
+    folder = session.run_dir(spark)
+    assert d.count() == 3 and files.exists(spark, folder) and session.release(spark) and not files.exists(spark, folder)
+
+
 def test_stream_counts_state_and_positions(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/event_rows.parquet")
     root = f"file://{tmp_path}"

@@ -108,12 +108,18 @@ def test_ledger_and_compaction(spark, tmp_path):
     bins = compaction.plan(compaction.manifest(s), target=2500)
     assert bins.count() == 6 and bins.groupBy("bin").agg(F.sum("n_bytes").alias("b")).filter("b > 2500").count() == 0
     r = compaction.compact(e, "events", ["GlobalEventID"], bins, f"file://{tmp_path}/out").toPandas()
-    back = spark.read.parquet(f"file://{tmp_path}/out/events").toPandas()
+    with pytest.raises(FileNotFoundError):  # nothing is seen before it is published
+        compaction.compacted(spark, f"file://{tmp_path}/out", "events")
+    for _ in range(2):  # a second run is published over the first
+        report = compaction.compact(e, "events", ["GlobalEventID"], bins, f"file://{tmp_path}/out")
+        compaction.commit(spark, f"file://{tmp_path}/out", report)
+    back = compaction.compacted(spark, f"file://{tmp_path}/out", "events").toPandas()
     assert sorted(back.GlobalEventID.dropna()) == ["1", "2", "3"] and back.GlobalEventID.isna().sum() == 2
     assert back[back.GlobalEventID == "1"].AvgTone.tolist() == [3.0]  # the copy written last
-    assert r.rows_out.sum() == 5 and not (tmp_path / "out" / "_staging-events").exists()
-    with pytest.raises(FileExistsError):
-        compaction.compact(e, "events", ["GlobalEventID"], bins, f"file://{tmp_path}/out")
+    assert r.rows_out.sum() == 5
+    some = bins.filter("file_name <> 'e/dt=2015-03-02/c'")  # rows of files outside the plan are not lost unseen
+    with pytest.raises(RuntimeError, match="rows"):
+        compaction.compact(e, "events", ["GlobalEventID"], some, f"file://{tmp_path}/out")
     assert compaction.found(e.limit(0), p.limit(0), s.limit(0)).count() == 0
 
 
@@ -141,7 +147,7 @@ def test_damage_is_not_committed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(compaction, "_sums", lossy)
     with pytest.raises(RuntimeError):
         compaction.compact(e, "events", ["GlobalEventID"], bins, f"file://{tmp_path}/out")
-    assert not (tmp_path / "out" / "events").exists()
+    assert not (tmp_path / "out" / compaction.POINTER).exists()
 
 
 def test_every_row_survives_on_the_tables(spark, sf):

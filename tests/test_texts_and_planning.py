@@ -9,7 +9,7 @@ from tidegauge.operators import text_features as tf
 
 
 def test_contrast_and_daily(spark):
-    rows = [("u1", "Tankers came under attack in the gulf", "en", 1), ("u2", "Oil closed little changed in quiet trade", "en", 1), ("u3", None, None, 1), ("u4", "", "fr", 1), ("u5", "mines were found", None, 2)]
+    rows = [("u1", tf.DISRUPTION[2], "en", 1), ("u2", tf.CALM[0], "en", 1), ("u3", None, None, 1), ("u4", "", "fr", 1), ("u5", "mines have been laid", None, 2)]
     d = spark.createDataFrame([(u, t, x, dt.date(2015, 1, k)) for u, t, x, k in rows], "url string, title string, lang string, date date")
     s = tf.contrast(d, "title")
     got = {r["url"]: r for r in s.collect()}

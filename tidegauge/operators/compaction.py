@@ -1,7 +1,7 @@
 """Compaction of many small files into few well-sized ones, every record once.
 
 Method: freeze a manifest of the files; pack them by size into bins by first-fit decreasing; rewrite each bin; verify row
-counts and checksums of what was written against what should be; commit by one atomic rename.
+counts and checksums of what was written against what should be; commit atomically by one pointer file that is written last.
 
 Packing runs per dataset and shelf: days are laid on shelves until a shelf is worth ``SHELF_BINS`` bins, days with more files than
 ``SHELF_FILES`` are dealt out over several. Each shelf is packed alone, with at most about that many files, so neither the
@@ -11,7 +11,6 @@ one copy and the ledger tells which files were delivered twice.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import broadcast_if_small, shared_dir, written
+from tidegauge.session import broadcast_if_small, run_dir, written
+from tidegauge.sources.files import publish, published
 
 TARGET_BYTES = 128 << 20
 SHELF_BINS, SHELF_FILES = 64, 10_000
@@ -137,9 +137,9 @@ BIN_COLUMN = "compact_bin"
 
 
 def repeated(df: DataFrame, key: list[str]) -> DataFrame:
-    """(key): keys that several rows share. Counted before the shuffle, keys only."""
+    """(key, __n): keys that several rows share, and how many. Counted before the shuffle, keys only."""
     full = " and ".join(f"`{k}` is not null" for k in key)
-    return df.filter(full).groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key)
+    return df.filter(full).groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
 
 
 def once(df: DataFrame, key: list[str], bins: DataFrame, twice: DataFrame, narrow: bool = False) -> DataFrame:
@@ -157,7 +157,7 @@ def once(df: DataFrame, key: list[str], bins: DataFrame, twice: DataFrame, narro
     own = own.select(*key, "src_file", "__h") if narrow else own
     own = own.join(broadcast_if_small(b), F.col("src_file").eqNullSafe(F.col("__file"))).drop("__file")
     cols = [BIN_COLUMN, "__h"] if narrow else [*df.columns, BIN_COLUMN]
-    twice = broadcast_if_small(twice)
+    twice = broadcast_if_small(twice.select(*key))
     # ties of time and file are settled by the whole row, so a rerun keeps the same copy
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("__written").desc(), F.col("src_file").desc(), F.col("__h")))
     best = own.join(twice, key, "left_semi").withColumn("__r", rank).filter("__r = 1").select(cols)
@@ -170,43 +170,56 @@ def _sums(df: DataFrame, h: Column) -> DataFrame:
 
 
 def compact(df: DataFrame, name: str, key: list[str], bins: DataFrame, target_dir: str | None = None) -> DataFrame:
-    """Rewrite the files of one dataset bin by bin and commit; (dataset, bin, files, rows_in, rows_out, checksum, path).
+    """Rewrite the files of one dataset bin by bin and verify; (dataset, bin, files, rows_in, rows_out, checksum, path).
 
-    Rows go to a staging folder, one file per bin. The staged files are read again and compared with the source by row
-    count and two checksums per bin; a difference raises and leaves the target untouched. One rename of the staging folder
-    publishes all bins at once. An executor lost on the way only repeats its tasks: the writer commits per task.
+    Rows go to a folder of their own, one file per bin, that no reader knows yet. The files are read again and compared with the source:
+    by row count and two checksums per bin, and in all: the rows of the source, whatever file they name, are those written and the
+    copies left out. A difference raises RuntimeError. :func:`commit` then publishes what was verified. An executor lost on the way only repeats
+    its tasks: the writer commits per task.
     """
     spark = df.sparkSession
     own = bins.filter(F.col("dataset") == name)
     twice = written(repeated(df, key), "repeated")
     clean = once(df, key, own, twice)
     cols = df.columns
-    root = target_dir or f"{shared_dir(spark)}/compact-{uuid.uuid4().hex}"
-    staging, final = f"{root}/_staging-{name}", f"{root}/{name}"
-    clean.repartition(BIN_COLUMN).write.partitionBy(BIN_COLUMN).parquet(staging)
-    back = spark.read.schema(clean.schema).parquet(staging)
+    root = target_dir or f"{run_dir(spark)}/compact-{uuid.uuid4().hex}"
+    final = f"{root}/{name}-{uuid.uuid4().hex}"
+    clean.repartition(BIN_COLUMN).write.partitionBy(BIN_COLUMN).parquet(final)
+    back = spark.read.schema(clean.schema).parquet(final)
     want, got = _sums(once(df, key, own, twice, narrow=True), F.col("__h")), _sums(back, F.xxhash64(*cols)).withColumnsRenamed({"n": "n2", "x": "x2", "s": "s2"})
     both = written(want.join(got, "bin", "full"), "verify")
     bad = both.filter(~(F.col("n").eqNullSafe(F.col("n2")) & F.col("x").eqNullSafe(F.col("x2")) & F.col("s").eqNullSafe(F.col("s2"))))
     if not bad.isEmpty():
         raise RuntimeError(f"{name}: what was written differs from the source; nothing was committed")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path(final)):
-        raise FileExistsError(final)
-    if not fs.rename(path(staging), path(final)):
-        raise RuntimeError(f"{name}: commit failed")
-    note = fs.create(path(f"{root}/_MANIFEST-{name}.json"))
-    note.write(bytearray(json.dumps({"dataset": name, "path": final, "key": key}).encode()))
-    note.close()
+    kept = both.agg(F.coalesce(F.sum("n2"), F.lit(0))).first()[0]
+    copies = twice.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
+    rows = df.count()
+    if rows != kept + copies:
+        raise RuntimeError(f"{name}: of {rows} rows {kept} were written and {copies} are copies; nothing was committed")
     per_bin = own.groupBy("bin").agg(F.count("file_name").alias("files"), F.sum("n_rows").alias("rows_in"))
     return per_bin.join(both, "bin", "left").select(F.lit(name).alias("dataset"), "bin", "files", "rows_in", F.coalesce("n", F.lit(0)).alias("rows_out"), F.col("x").alias("checksum"), F.lit(final).alias("path"))
 
 
-def compact_all(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
-    """Both datasets compacted; the reports of :func:`compact` in one table."""
+POINTER = "_CURRENT.json"
+
+
+def commit(spark: SparkSession, root: str, reports: DataFrame) -> None:
+    """Publish verified datasets together: one pointer file, written last, names the folder of each."""
+    paths = {r["dataset"]: r["path"] for r in reports.select("dataset", "path").distinct().collect()}  # a row a dataset
+    publish(spark, f"{root}/{POINTER}", paths)
+
+
+def compacted(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A dataset as last published; FileNotFoundError if it never was."""
+    return spark.read.parquet(published(spark, f"{root}/{POINTER}")[name]).drop(BIN_COLUMN)
+
+
+def compact_all(events: DataFrame, positions: DataFrame, slot_files: DataFrame, target: int = TARGET_BYTES, target_dir: str | None = None) -> DataFrame:
+    """Both datasets compacted and published at once; the reports of :func:`compact` in one table."""
+    spark = events.sparkSession
     bins = written(plan(complete(manifest(slot_files), events, positions), target), "bins")
-    root = f"{shared_dir(events.sparkSession)}/compact-{uuid.uuid4().hex}"
+    root = target_dir or f"{run_dir(spark)}/compact-{uuid.uuid4().hex}"
     a = compact(events, "events", ["GlobalEventID"], bins, root)
-    return a.unionByName(compact(positions, "positions", ["mmsi", "ts_utc"], bins, root))
+    both = a.unionByName(compact(positions, "positions", ["mmsi", "ts_utc"], bins, root))
+    commit(spark, root, both)
+    return both

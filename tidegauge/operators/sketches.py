@@ -167,9 +167,9 @@ def estimates(df: DataFrame, confidence: float = 0.99) -> DataFrame:
 
 
 def event_keys(events: DataFrame) -> DataFrame:
-    """``events`` with ``day`` (of DATEADDED, null if unreadable) and ``root`` (two digits, null if none)."""
+    """``events`` with ``day`` (of DATEADDED, null if unreadable) and ``root`` (two digits or more, null if none)."""
     day = F.to_date(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")))
-    return events.select(F.date_format(day, "yyyy-MM-dd").alias("day"), F.lpad(F.trim("EventRootCode"), 2, "0").alias("root"), "SOURCEURL")
+    return events.select(F.date_format(day, "yyyy-MM-dd").alias("day"), F.when(F.length(F.trim("EventRootCode")) < 2, F.lpad(F.trim("EventRootCode"), 2, "0")).otherwise(F.trim("EventRootCode")).alias("root"), "SOURCEURL")
 
 
 def distinct_cube(events: DataFrame, m: int = M) -> DataFrame:

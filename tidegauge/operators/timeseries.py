@@ -49,8 +49,19 @@ def rolling(stat, x: Column, n: int, least: int, w: WindowSpec) -> Column:
 
 
 def rolling_z(x: Column, n: int, least: int, w: WindowSpec) -> Column:
-    """Deviation from the trailing mean in trailing standard deviations; null where these vanish."""
-    return F.try_divide(x - rolling(F.avg, x, n, least, w), rolling(F.stddev_samp, x, n, least, w))
+    """Deviation from the trailing mean in trailing standard deviations; null where these vanish.
+
+    Sums of the last n rows are differences of running sums, so a row costs the same whatever n is. A variance below what rounding leaves of
+    them is none: pass values less a constant near them where they are large against their changes.
+    """
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
+    trailing = lambda c: F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    count = F.count(x).over(upto) - F.count(x).over(before)
+    total, squares = trailing(x), trailing(x * x)
+    mean = total / count
+    var = (squares - total * mean) / (count - 1)
+    noise = F.lit(1e-13) * F.sum(x * x).over(upto)
+    return F.when((count >= least) & (count > 1) & (var * (count - 1) > noise), (x - mean) / F.sqrt(var))
 
 
 def count_above(x: Column, limit: float, n: int, least: int, w: WindowSpec) -> Column:

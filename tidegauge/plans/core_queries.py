@@ -6,6 +6,7 @@ Doubles that come out of long sums are rounded to 4 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,8 +91,11 @@ def daily_event_features(spark, d):
 @query("""with e as (select GlobalEventID, AvgTone, cast(try_strptime(DATEADDED, '%Y%m%d%H%M%S') as date) as date from event_rows)
 select date, GlobalEventID, AvgTone from e where date between (select max(date) from e) - 30 and (select max(date) from e)""")
 def date_range_projection(spark, d):
-    e = table(spark, d, "event_rows").select(ev.day().alias("date"), "GlobalEventID", "AvgTone")
-    last = e.agg(F.max("date")).first()[0]  # one value; the range then is a literal and prunes
+    rows = table(spark, d, "event_rows")
+    last = rows.agg(F.max(ev.day())).first()[0]  # one value
+    if last is not None:  # stamps sort as text, so the scan skips row groups by their bounds; unreadable ones fall to the exact filter
+        rows = rows.filter(F.col("DATEADDED").between(f"{last - timedelta(days=30):%Y%m%d}", f"{last:%Y%m%d}235959"))
+    e = rows.select(ev.day().alias("date"), "GlobalEventID", "AvgTone")
     return e.filter(F.col("date").between(F.date_sub(F.lit(last), 30), F.lit(last)))
 
 

@@ -13,7 +13,7 @@ from tidegauge.operators import aggregates, intervals, market_model, planning, t
 from tidegauge.operators import events as ev
 from tidegauge.plans import core_queries as q
 from tidegauge.plans import semantic
-from tidegauge.session import shared_dir, table
+from tidegauge.session import run_dir, table
 from tidegauge.streaming import slots
 
 QUERIES = {}
@@ -100,7 +100,7 @@ def gbm_comparison(spark, d):
         train, test = x.filter(F.col("date") < F.lit(lo - timedelta(days=10))), x.filter(F.col("date").between(F.lit(lo), F.lit(p.end)))
         if train.select("label").distinct().count() < 2:
             continue  # one class only: nothing to learn
-        m = GBTClassifier(maxIter=20, maxDepth=2, stepSize=0.05, seed=42).fit(train)
+        m = GBTClassifier(maxIter=80, maxDepth=2, stepSize=0.05, seed=42).fit(train)
         one = m.transform(test).select(F.lit(p.name).alias("event"), "date", "label", vector_to_array("probability")[1].alias("score"))
         out = one if out is None else out.unionAll(one)
     return out if out is not None else spark.createDataFrame([], "event string, date date, label double, score double")
@@ -116,7 +116,7 @@ def rf_baseline(spark, d):
     w = aggregates.class_weights(t, "label").select(F.col("cls").alias("label"), "weight")
     t = t.join(F.broadcast(w), "label")  # two rows
     last = t.agg(F.max("chip")).first()[0]
-    m = RandomForestClassifier(numTrees=30, weightCol="weight", seed=42).fit(t.filter(F.col("chip") < F.lit(last)))
+    m = RandomForestClassifier(numTrees=250, weightCol="weight", seed=42).fit(t.filter(F.col("chip") < F.lit(last)))
     s = m.transform(t.filter(F.col("chip") == F.lit(last)))
     return aggregates.confusion(s, "label", "prediction")
 
@@ -129,7 +129,7 @@ _TAGGED = """coalesce(ActionGeo_Lat between 22 and 31 and ActionGeo_Long between
 select time_bucket(interval 15 minutes, try_strptime(DATEADDED, '%Y%m%d%H%M%S')) as slot, count(*) as n from k group by 1""")
 def stream_slot_replay(spark, d):
     """The event table twice through the stream, in day-sized files; the store must hold every row once."""
-    root = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/replay-{uuid.uuid4().hex}"
     e = table(spark, d, "event_rows")
     part = e.withColumn("p", F.coalesce(F.date_format(ev.published(), "yyyyMMdd"), F.lit("none")))
     for i in (0, 1):  # delivered twice

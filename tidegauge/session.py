@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,7 +52,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else (tests) a fresh local one."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where it is set, else, in a local session (tests), a fresh local one.
+
+    RuntimeError on a cluster that names none: a folder of one machine would lose what others wrote.
+    """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
@@ -59,15 +64,45 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidegauge-shared-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
+_runs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application; removed with it."""
+    path = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    if path not in _runs:
+        _runs.add(path)
+        atexit.register(_release_quietly, spark)
+    return path
+
+
+def release(spark: SparkSession) -> bool:
+    """Remove all that :func:`written` wrote in this application; frames that read it can't be used any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/run-{sc.applicationId}")
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception:  # the session is gone: nothing left to ask
+        pass
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, without lineage, safe against lost executors."""
+    """``df`` written to the run's own part of the shared folder and read again: computed once, without lineage, safe against
+    lost executors. It stays until :func:`release`, or the end of the driver."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,20 +80,27 @@ def column_gaps(df: DataFrame, wanted: Iterable[str]) -> list[tuple[str, str | N
 
 def read_partitioned(spark: SparkSession, root: str, schema: str | T.StructType | None = None, start: str | None = None, end: str | None = None, part: str = "dt") -> DataFrame:
     """A store partitioned by ``dt=``, pruned to a range of days; files may lack columns."""
-    r = spark.read.option("mergeSchema", "true")
-    d = (r.schema(schema) if schema else r).parquet(root)
+    r = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    d = r.parquet(root)
     if start:
         d = d.filter(F.col(part) >= F.lit(start).cast("date"))
     return d.filter(F.col(part) <= F.lit(end).cast("date")) if end else d
 
 
-def newest_files(df: DataFrame, partitions: int = 3, files: int = 8, part: str = "dt") -> DataFrame:
-    """Rows of the newest files: the last ``partitions`` days, ``files`` of each by name. Only names are ranked, not rows."""
-    named = df.withColumn("__file", F.col("_metadata.file_path"))
-    days = named.select(part, "__file").distinct()
-    d = days.withColumn("a", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col(part).desc())))
-    d = d.withColumn("b", F.row_number().over(Window.partitionBy(part).orderBy(F.col("__file").desc())))
-    return named.join(d.filter((F.col("a") <= partitions) & (F.col("b") <= files)).select("__file"), "__file", "left_semi").drop("__file")
+def newest_files(spark: SparkSession, root: str, partitions: int = 3, files: int = 8, part: str = "dt") -> DataFrame:
+    """Rows of the newest files of a store: the last ``partitions`` days, ``files`` of each by name.
+
+    Only the folders of days and the files of the chosen days are listed; no row is read to choose them. FileNotFoundError without a day.
+    """
+    fs, p = _fs(spark, root)
+    days = sorted((s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{part}=")), reverse=True)[:partitions]
+    names: list[str] = []
+    for day in days:
+        own = sorted((s.getPath().toString() for s in fs.listStatus(_fs(spark, day)[1]) if s.getPath().getName()[0] not in "._"), reverse=True)
+        names += own[:files]
+    if not names:
+        raise FileNotFoundError(root)
+    return spark.read.option("basePath", root).parquet(*names)
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -184,6 +191,26 @@ def volumes(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
 # ------------------------------------------------------------------ writers
 
 
+def publish(spark: SparkSession, path: str, what: dict) -> None:
+    """Write a pointer file as one object, over the one before: the single step by which readers come to see new tables."""
+    fs, target = _fs(spark, path)
+    out = fs.create(target, True)  # an object appears whole when it is closed
+    out.write(bytearray(json.dumps(what, default=str).encode()))
+    out.close()
+
+
+def published(spark: SparkSession, path: str) -> dict:
+    """What the pointer file says; FileNotFoundError if nothing was published."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    held = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
+    finally:
+        held.close()
+
+
 def write_slots(df: DataFrame, root: str, part: str = "dt") -> None:
     """Write day partitions, replacing only those in ``df``; the commit is the writer's, so a reader never sees half a slot."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(part).parquet(root)
@@ -202,10 +229,14 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def consolidate(df: DataFrame, path: str, order: list[str], files: int = 1) -> None:
-    """One sorted file (or a few, cut by range)."""
-    d = df.coalesce(1) if files == 1 else df.repartitionByRange(files, *order)
-    d.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+def consolidate(df: DataFrame, path: str, order: list[str], files: int | None = None, target: int = 128 << 20) -> None:
+    """A few sorted files, cut by range; as many as the planned size needs for files of ``target`` bytes (the session's
+    shuffle partitions where the size is unknown), unless ``files`` says."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unknown = size >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    n = files or (int(spark.conf.get("spark.sql.shuffle.partitions")) if unknown else max(1, -(-size // target)))
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def report(row: dict, spark: SparkSession, path: str) -> None:

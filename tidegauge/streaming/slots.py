@@ -5,11 +5,14 @@ Batch backfill and the stream share :func:`transform_slot`, so history and live
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,9 +36,10 @@ def slot_scores(df: DataFrame) -> DataFrame:
 def run_slots(source: DataFrame, store: str, scores: str, checkpoint: str, key: str = "GlobalEventID") -> StreamingQuery:
     """Process all there is of a stream of event rows; return the finished query.
 
-    Each micro-batch is merged into the day partitions it touches: rows already stored (by ``key`` and publication stamp) are
-    not added again, and the touched partitions are rewritten as a whole. A batch that runs twice, or a slot that is
-    delivered twice, therefore leaves the store as it was. Scores of a slot are replaced by day likewise.
+    Each micro-batch is appended to the day partitions it touches, without the rows they hold already (by ``key`` and publication
+    stamp): of the store only these two columns of these days are read, and nothing stored is written again. A batch that runs
+    twice, or a slot that is delivered twice, therefore leaves the store as it was. The scores of the touched days, at most 96
+    rows each, are computed anew and replaced.
     """
 
     def batch(df: DataFrame, _: int) -> None:
@@ -43,20 +47,15 @@ def run_slots(source: DataFrame, store: str, scores: str, checkpoint: str, key:
         new = transform_slot(df).filter("dt is not null").dropDuplicates([key, "DATEADDED"])
         new = new.persist()
         try:
-            if new.isEmpty():
-                return
             days = [r[0] for r in new.select("dt").distinct().collect()]  # the days of one micro-batch
+            if not days:
+                return
+            fresh = new
             if files.exists(spark, store):
-                old = spark.read.parquet(store).withColumn("dt", F.col("dt").cast("date")).filter(F.col("dt").isin(days))
-                fresh = new.join(old.select(key, "DATEADDED"), [key, "DATEADDED"], "left_anti")
-                whole = old.unionByName(fresh, allowMissingColumns=True)
-                # a partition can't be read and replaced in one job: cut by a written copy
-                from tidegauge.session import written
-
-                whole = written(whole, "slots")
-            else:
-                whole = new
-            files.write_slots(whole, store)
+                held = _days(spark, store, new.schema, days).select(key, "DATEADDED")
+                fresh = new.join(held, [key, "DATEADDED"], "left_anti")
+            fresh.repartition("dt").write.mode("append").partitionBy("dt").parquet(store)
+            whole = _days(spark, store, new.schema, days)
             files.write_slots(slot_scores(whole).withColumn("dt", F.to_date("slot")), scores)
         finally:
             new.unpersist()
@@ -66,6 +65,10 @@ def run_slots(source: DataFrame, store: str, scores: str, checkpoint: str, key:
     return q
 
 
+def _days(spark: SparkSession, store: str, schema, days: list) -> DataFrame:
+    return spark.read.schema(schema).parquet(store).filter(F.col("dt").isin(days))
+
+
 def windowed_counts(source: DataFrame, late: str = "1 hour", once_by: list[str] | None = None) -> DataFrame:
     """(slot, n): rows per publication slot with a watermark; rows later than ``late`` are left out, and with ``once_by`` the
     redeliveries of a row within it."""
@@ -154,6 +157,59 @@ def file_stream(spark: SparkSession, folder: str, schema, per_batch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
+#: Seconds after a slot's end at which its file can be expected.
+PUBLISH_LAG_S = 240
+
+
+def due_slots(last: Column, now: Column, lag_s: int = PUBLISH_LAG_S) -> Column:
+    """The slots after ``last`` whose files are published by ``now``: aligned to the quarter hour, each once its end and the lag are over."""
+    first = F.timestamp_seconds(F.floor(F.unix_timestamp(last.cast("timestamp")) / 900) * 900 + 900)
+    final = F.timestamp_seconds(F.floor((F.unix_timestamp(now.cast("timestamp")) - lag_s) / 900) * 900 - 900)
+    return F.when(first <= final, F.sequence(first, final, F.expr("interval 15 minutes"))).otherwise(F.array().cast("array<timestamp>"))
+
+
+class Heartbeat(StreamingQueryListener):
+    """A line of JSON in ``path`` for every progress of the session's streams: name, batch, rows, rows a second, event-time watermark and time."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__()
+        self.spark, self.path, self.beats = spark, path, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = {"name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond, "at": p.timestamp, "watermark": dict(p.eventTime).get("watermark")}
+        self.beats += 1
+        fs, target = files._fs(self.spark, f"{self.path}/beat-{p.runId}-{p.batchId:09d}.json")
+        out = fs.create(target, True)
+        out.write(bytearray((json.dumps(row, default=str) + "\n").encode()))
+        out.close()
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def flushed(source: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """``source`` handed on batch by batch: at ``seconds``, or all there is; the rows a batch may hold are the source's own limit (``file_stream``'s
+    ``per_batch`` files, a queue's ``maxOffsetsPerTrigger``), so a flush comes by count or by time, whichever is first."""
+    w = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
+
+
+def write_snapshot(positions: DataFrame, path: str) -> None:
+    """The records of all vessels into a new folder under ``path``, published by a pointer that readers follow: never half a snapshot."""
+    spark = positions.sparkSession
+    target = f"{path}/{uuid.uuid4().hex}"
+    vessel_snapshot(positions).write.parquet(target)
+    files.publish(spark, f"{path}/_CURRENT", {"path": target})
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(files.published(spark, f"{path}/_CURRENT")["path"])
+
+
 def throughput(q: StreamingQuery) -> dict[str, float]:
     """Rows, seconds and rows a second of a finished query."""
     p = q.recentProgress
