@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import scalar as fn
-from tidegauge.operators import aggregates, fusion, intervals, market_model
+from tidegauge.operators import aggregates, fusion, intervals, market_model, text_features
 from tidegauge.operators import events as ev
 from tidegauge.plans import dag, semantic
 from tidegauge.session import table
@@ -61,11 +61,10 @@ def semantic_forbidden(spark: SparkSession) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """The daily panel: events and market on one calendar."""
-    from tidegauge.operators import timeseries as ts
+    """The daily panel: events and market on one calendar. A radar arm joins by ``fusion.panel`` where chips are dated."""
     from tidegauge.plans import core_queries as q
 
-    return ts.densify([fusion.market_features(q.wide(spark, d)), ev.daily_features(table(spark, d, "event_rows"))])
+    return fusion.panel(fusion.market_features(q.wide(spark, d)), ev.daily_features(table(spark, d, "event_rows")))
 
 
 def semantic_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -137,10 +136,10 @@ def recent_titles(spark: SparkSession, d: str, limit: int = 25) -> DataFrame:
 
 
 def predict_live(spark: SparkSession, d: str) -> DataFrame:
-    """The market's latest band and the newest texts, as (kind, text, value)."""
+    """The market's latest band, and of the 25 newest texts the five with the highest scores against the anchors, as (kind, text, value)."""
     m = predict_market(spark, d).select(F.lit("market").alias("kind"), F.col("band").alias("text"), F.col("recon_error").alias("value"))
-    t = recent_titles(spark, d, 5).select(F.lit("title").alias("kind"), "text", F.lit(None).cast("double").alias("value"))
-    return m.unionAll(t)
+    t = text_features.contrast(recent_titles(spark, d), "text").orderBy(F.col("chokepoint_score").desc_nulls_last(), "text").limit(5)
+    return m.unionAll(t.select(F.lit("title").alias("kind"), "text", F.col("chokepoint_score").alias("value")))
 
 
 def models(spark: SparkSession, d: str) -> DataFrame:

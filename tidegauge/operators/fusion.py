@@ -47,6 +47,15 @@ def port_features(detections: DataFrame, ports: list[str], least: float = 0.9) -
     return p.withColumnsRenamed({c: f"sar_vessels_{c}" for c in ports})
 
 
+def panel(*arms: DataFrame) -> DataFrame:
+    """The daily panel: tables keyed by date (market, events, radar, ...) on one calendar without gaps. Empty arms are left out; what an arm doesn't
+    say of a day is missing. ValueError if no arm has rows."""
+    have = [a for a in arms if not a.isEmpty()]
+    if not have:
+        raise ValueError("no arm has rows")
+    return ts.densify(have)
+
+
 def leakage(panel: DataFrame, sources: dict[str, str] = SOURCES) -> DataFrame:
     """(column, problem): derived columns that outlive, outnumber or precede their source, or equal their own next value.
 

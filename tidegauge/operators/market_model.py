@@ -17,8 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators import intervals
+from tidegauge.operators import aggregates, intervals
 from tidegauge.operators import timeseries as ts
+from tidegauge.session import written
 
 
 def windows(df: DataFrame, columns: list[str], cal: intervals.Calendar, buffer: int = 60, other: intervals.Calendar = (), n: int = 20) -> DataFrame:
@@ -70,15 +71,43 @@ def scores(
         back = F.transform(parts, lambda r: F.aggregate(F.zip_with(r, F.col("c"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
         err = F.aggregate(F.zip_with("z", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("z")
         out = z.select("date", err.alias("recon_error"), "near_event", "declared_other", "clean")
-    t = out.filter("clean").agg(F.percentile("recon_error", F.lit(0.95)).alias("p95"), F.percentile("recon_error", F.lit(0.99)).alias("p99")).first()
-    return out.withColumns({"p95": F.lit(t["p95"]).cast("double"), "p99": F.lit(t["p99"]).cast("double")})
+    # written: a window's length is checked before the model sees it, which a plan of one piece doesn't promise
+    return with_thresholds(written(out, "scores"))
+
+
+def with_thresholds(s: DataFrame) -> DataFrame:
+    """``s`` with ``p95`` and ``p99`` of the errors of its clean windows."""
+    t = s.filter("clean").agg(F.percentile("recon_error", F.lit(0.95)).alias("p95"), F.percentile("recon_error", F.lit(0.99)).alias("p99")).first()
+    return s.withColumns({"p95": F.lit(t["p95"]).cast("double"), "p99": F.lit(t["p99"]).cast("double")})
 
 
 def evaluation(s: DataFrame) -> DataFrame:
-    """One row: medians, shares above the thresholds and false positives of a score table."""
+    """One row: how a score tells event windows from calm ones (medians, shares above p95, the area under the curve of event against calm),
+    whether declared other shocks fire, and the windows above p99 that are neither (false positives)."""
     e = F.col("recon_error")
     m = lambda c: F.median(F.when(c, e))
     share = lambda c: F.avg(F.when(c, (e > F.col("p95")).cast("double"))) * 100
     clean, near, other = F.col("clean"), F.col("near_event"), F.col("declared_other")
-    false = (e > F.col("p99")) & clean
-    return s.agg(m(clean).alias("calm_median"), m(near).alias("event_median"), m(other).alias("other_median"), share(clean).alias("calm_pct_above_p95"), share(near).alias("event_pct_above_p95"), F.count_if(false).alias("false_positives"))
+    false = (e > F.col("p99")) & ~near & ~other
+    both = s.filter(clean | near)
+    area = aggregates.auc(both, "recon_error", F.col("near_event")).select(F.col("auc").alias("auc_event_vs_calm"))
+    one = s.agg(
+        m(clean).alias("calm_median"), m(near).alias("event_median"), m(other).alias("other_median"), share(clean).alias("calm_pct_above_p95"), share(near).alias("event_pct_above_p95"), share(other).alias("other_pct_above_p95"),
+        F.count_if(false).alias("false_positives"), (100 * F.try_divide(F.count_if(false).cast("double"), F.count(F.lit(1)).cast("double"))).alias("false_positive_pct"),
+        F.coalesce(F.bool_or(F.when(other, e > F.col("p99"))), F.lit(False)).alias("other_fires"),
+    )
+    return one.withColumn("__k", F.lit(0)).join(area.withColumn("__k", F.lit(0)), "__k", "left").drop("__k")
+
+
+def lead_report(s: DataFrame, cal: intervals.Calendar, days: int = 60) -> DataFrame:
+    """(event, onset, threshold, n_days, peak, first_cross, lead_days, detected) for ``p95`` and ``p99``: the first crossing in the ``days`` before an onset.
+
+    A crossing after the onset is no warning. An event without scores in its look-back has ``n_days`` 0 and is neither detected nor missed.
+    """
+    limits = F.array(*(F.struct(F.lit(k).alias("threshold"), F.col(k).alias("limit")) for k in ("p95", "p99")))
+    pre = intervals.lookback(s, cal, days).withColumn("t", F.explode(limits)).select("event", "date", "recon_error", "t.*")
+    hit = F.when(F.col("recon_error") > F.col("limit"), F.col("date"))
+    g = pre.groupBy("event", "threshold").agg(F.count("recon_error").alias("n_days"), F.max("recon_error").alias("peak"), F.min(hit).alias("first_cross"))
+    every = intervals.frame(s.sparkSession, cal).select(F.col("name").alias("event"), F.col("start").alias("onset"), F.explode(F.array(F.lit("p95"), F.lit("p99"))).alias("threshold"))
+    out = every.join(g, ["event", "threshold"], "left").withColumn("n_days", F.coalesce("n_days", F.lit(0)))
+    return out.select("event", "onset", "threshold", "n_days", "peak", "first_cross", F.datediff("onset", "first_cross").alias("lead_days"), F.when(F.col("n_days") > 0, F.col("first_cross").isNotNull()).alias("detected"))

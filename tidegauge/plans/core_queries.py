@@ -135,7 +135,10 @@ def tension_volume_daily(spark, d):
     return ev.tension(table(spark, d, "event_rows").withColumn("date", ev.day()), "date").select("date", "events", "articles", "reports")
 
 
-@query()
+@query(f"""with {_EV}, cf as (select * from ev where c), best as (select *, row_number() over (partition by date, SOURCEURL order by NumArticles desc nulls last, GlobalEventID nulls last) as r from cf),
+a as (select date, count(*) as events, sum(coalesce(NumArticles, 0)) as reports from cf group by 1), m as (select date, count(*) as articles, avg(GoldsteinScale) as g, avg(AvgTone) as t from best where r = 1 group by 1)
+select a.date, events, articles, round(reports, 4) + 0.0 as reports, round(g, 4) + 0.0 as goldstein, round(t, 4) + 0.0 as tone,
+ round(least(100, least(articles / 50.0, 1) * 40 + greatest(0, coalesce(-g, 0) / 10) * 35 + greatest(0, coalesce(-t, 0) / 10) * 25), 4) + 0.0 as score from a join m on a.date is not distinct from m.date""")
 def tension_score_daily(spark, d):
     return rounded(ev.tension(table(spark, d, "event_rows").withColumn("date", ev.day()), "date"))
 
@@ -229,9 +232,16 @@ def feature_panel(spark, d):
     return ts.densify([m, e])
 
 
-@query()
+@query(f"""with {_SPREAD}, x as (select *, (brent / nullif(lag(brent) over w, 0) - 1) * 100 as r1, (brent / nullif(lag(brent, 7) over w, 0) - 1) * 100 as r7, spread - lag(spread, 7) over w as c7 from sp window w as (order by date))
+select date, round(brent, 4) + 0.0 as brent, round(wti, 4) + 0.0 as wti, round(gas, 4) + 0.0 as gas, round(spread, 4) + 0.0 as brent_wti_spread, round(r1, 4) + 0.0 as brent_ret_1d, round(r7, 4) + 0.0 as brent_ret_7d, round(c7, 4) + 0.0 as spread_chg_7d,
+ round(case when spread is not null and count(spread) over w252 >= 60 then (spread - avg(spread) over w252) / nullif(stddev_samp(spread) over w252, 0) end, 4) + 0.0 as spread_z,
+ round(case when spread is not null and count(spread) over w10 >= 5 then avg(spread) over w10 end, 6) + 0.0 as spread_smooth_10d,
+ case when spread is not null and count(*) over w30 >= 10 then sum(case when spread > 15 then 1.0 else 0.0 end) over w30 end as spread_days_gt15_30d,
+ round(case when r1 is not null and count(r1) over w7 >= 3 then stddev_samp(r1) over w7 end, 4) + 0.0 as brent_vol_7d
+from x window w252 as (order by date rows between 251 preceding and current row), w10 as (order by date rows between 9 preceding and current row), w30 as (order by date rows between 29 preceding and current row), w7 as (order by date rows between 6 preceding and current row)""")
 def market_features(spark, d):
-    return rounded(fusion.market_features(wide(spark, d)))
+    m = fusion.market_features(wide(spark, d))
+    return rounded(m.drop("spread_smooth_10d")).join(m.select("date", (F.round("spread_smooth_10d", 6) + 0.0).alias("spread_smooth_10d")), "date")  # means of prices end at a 5
 
 
 @query(f"""with {_SPREAD}, x as (select (select max(date) from sp where brent is not null) as hi) select cast(null as varchar) as "column", cast(null as varchar) as problem from x where hi is null""")
@@ -239,6 +249,16 @@ def leakage_report(spark, d):
     return fusion.leakage(fusion.market_features(wide(spark, d)))
 
 
+@query(f"""with {_SPREAD} select c as "column", p as problem from (values ('spread_chg_7d'), ('spread_z'), ('spread_smooth_10d'), ('spread_days_gt15_30d')) x(c), (values ('outlives its source'), ('has more values than its source')) y(p)
+where (select count(spread) from sp) > 120""")
+def leakage_of_a_cut_source(spark, d):
+    """The same checks where the spread is known for its first days only: everything derived from it has leaked."""
+    m = fusion.market_features(wide(spark, d))
+    first = m.filter("brent_wti_spread is not null").orderBy("date").limit(10).select("date").withColumn("__known", F.lit(True))
+    cut = m.join(F.broadcast(first), "date", "left")  # ten rows
+    return fusion.leakage(cut.withColumn("brent_wti_spread", F.when(F.col("__known"), F.col("brent_wti_spread"))).drop("__known"))
+
+
 @query(f"""with {_SERIES}, n as (select series_id, v, lead(v) over (partition by series_id order by date) as nx from s), g as (select series_id, count(*) as n, corr(v, nx) as c from n group by 1)
 select series_id, n, round(case when n >= 60 then c end, 4) + 0.0 as autocorr, coalesce(case when n >= 60 then abs(c) > 0.9999 end, false) as suspect from g""")
 def lag1_autocorr(spark, d):
@@ -329,6 +349,13 @@ def _folds(spark: SparkSession, d: str) -> DataFrame:
         return spark.createDataFrame([], kind)
 
 
+@query(f"""with {_WIDE}, {_FOLDS} select event, problem from f, (values ('event in training'), ('embargo broken'), ('training after the test')) y(problem) where test_days > 0 and train_days >= 120""")
+def loeo_audit_of_late_training(spark, d):
+    """The audit of folds whose training runs into the event: each has all three faults."""
+    folds = intervals.leave_one_event_out(wide(spark, d), CAL, least=120).withColumn("train_end", F.date_add("onset", 1))
+    return intervals.audit_loeo(folds, CAL)
+
+
 @query()
 def fold_audit(spark, d):
     return intervals.audit_folds(_folds(spark, d), CAL)
@@ -351,7 +378,15 @@ def loeo_backtest(spark, d):
     return rounded(intervals.backtest(risk_index(spark, d), CAL, "risk_index"))
 
 
-@query()
+@query(f"""with {_ARMS}, {_CAL}, idx as (select date, risk_index as v from risk where risk_index is not null),
+quiet as (select date, v from idx where not exists (select 1 from cal where idx.date between s - 30 and e + 30)),
+thr as (select name as event, quantile_cont(v, 0.9) as t, count(v) as nq from cal left join quiet on quiet.date < cal.s - 60 group by 1),
+f as (select name as event, s as onset, (select count(*) from idx where date < s - 70) as train_days, (select count(*) from idx where date between s - 60 and e) as test_days from cal),
+p as (select name as event, max(v) as peak, count(*) as n_days, min(date) filter (where v > t) as fc from cal join idx on idx.date between s - 60 and s join thr on thr.event = cal.name group by 1),
+j as (select f.*, t, nq, peak, n_days, fc, case when test_days = 0 or train_days < 120 then 'unscoreable' when nq < 50 then 'too few quiet days' when n_days is null then 'no coverage' when fc is not null then 'detected' else 'missed' end as status from f join thr using (event) left join p using (event))
+select event, onset, status, case when status in ('detected', 'missed') then round(t, 4) + 0.0 end as threshold, case when status in ('detected', 'missed') then round(peak, 4) + 0.0 end as peak,
+ case when status in ('detected', 'missed') then n_days end as n_days, case when status in ('detected', 'missed') then fc end as first_cross,
+ case when status in ('detected', 'missed') then cast(onset - fc as integer) end as lead_days, case when status in ('detected', 'missed') then fc is not null end as detected from j""")
 def loeo_backtest_causal(spark, d):
     return rounded(intervals.backtest(risk_index(spark, d), CAL, "risk_index", scope="past"))
 
@@ -431,7 +466,15 @@ def series_provenance(spark, d):
 # ------------------------------------------------------------------ text and vectors
 
 
-@query()
+SLUG_SQL = """slug as (select url, lower(array_to_string(case when len(last) < 4 and len(longest) > len(last) then longest else last end, ' ')) as words from (
+ select url, list_filter(regexp_extract_all(coalesce(segs[-1], ''), '[A-Za-z\\x{0600}-\\x{06FF}\\x{0400}-\\x{04FF}]{3,}'), lambda w: not list_contains(stops, lower(w))) as last,
+  list_filter(regexp_extract_all(case when len(segs) = 0 then '' else list_reduce(segs, lambda a, s: case when length(s) > length(a) then s else a end) end, '[A-Za-z\\x{0600}-\\x{06FF}\\x{0400}-\\x{04FF}]{3,}'), lambda w: not list_contains(stops, lower(w))) as longest
+ from (select url, ['news', 'article', 'articles', 'story', 'stories', 'index', 'world', 'politics', 'business', 'en', 'ar', 'amp', 'www'] as stops,
+  list_transform(list_filter(string_split(url_decode(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '')), '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '\\.(html?|php|aspx?|shtml|jsp)$', '', 'i')) as segs
+  from (select distinct SOURCEURL as url from event_rows where SOURCEURL is not null))))"""
+
+
+@query(f"""with {SLUG_SQL} select url as SOURCEURL, words, cast(case when words = '' then 0 else length(words) - length(replace(words, ' ', '')) + 1 end as integer) as n_words from slug""")
 def url_slug_words(spark, d):
     u = table(spark, d, "event_rows").select("SOURCEURL").filter("SOURCEURL is not null").distinct()
     s = u.withColumn("words", fn.slug_words(F.col("SOURCEURL")))

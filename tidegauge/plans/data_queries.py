@@ -43,6 +43,22 @@ def p4_distinct_urls(spark: SparkSession, d: str) -> DataFrame:
     return sketches.estimates(sketches.distinct_cube(table(spark, d, "event_rows")))
 
 
+def p4_within_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates held against exact counts: (level, day, root, n_exact, within) at a confidence of one in a thousand million."""
+    e = table(spark, d, "event_rows")
+    est = sketches.estimates(sketches.distinct_cube(e), confidence=1 - 1e-9)
+    k = sketches.event_keys(e).filter("SOURCEURL is not null")
+    n, none = F.count_distinct("SOURCEURL").alias("n_exact"), F.lit(None).cast("string")
+    exact = k.agg(n).filter("n_exact > 0").select(F.lit("total").alias("level"), none.alias("day"), none.alias("root"), "n_exact")
+    exact = exact.unionAll(k.filter("day is not null").groupBy("day").agg(n).select(F.lit("day"), "day", none, "n_exact"))
+    exact = exact.unionAll(k.filter("root is not null").groupBy("root").agg(n).select(F.lit("root"), none, "root", "n_exact"))
+    exact = exact.unionAll(k.filter("day is not null and root is not null").groupBy("day", "root").agg(n).select(F.lit("day_root"), "day", "root", "n_exact"))
+    key = lambda x: F.concat_ws("|", x["level"], F.coalesce(x["day"], F.lit("-")), F.coalesce(x["root"], F.lit("-")))
+    a, b = exact.withColumn("k", key(exact)), est.withColumn("k", key(est)).select("k", "low", "high")
+    j = a.join(b, "k", "full")
+    return j.select("level", "day", "root", "n_exact", F.coalesce(F.col("n_exact").between(F.col("low"), F.col("high")), F.lit(False)).alias("within"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.found(table(spark, d, "event_rows"), table(spark, d, "positions"), table(spark, d, "slot_files"))
 
@@ -77,7 +93,7 @@ def p7_events_run_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_stops, p1_trips, p2_found, p2_grid, p3_found, p3_port_pings, p4_distinct_urls, p5_found, p5_compact, p6_found, p6_reasons, p7_events, p7_market,
+    p1_found, p1_stops, p1_trips, p2_found, p2_grid, p3_found, p3_port_pings, p4_distinct_urls, p4_within_bounds, p5_found, p5_compact, p6_found, p6_reasons, p7_events, p7_market,
     p7_events_run_out, p7_market_run_out,
 )}
 
@@ -157,8 +173,25 @@ select 'positions' as tbl, 'sog' as field, id as row_id from (select id from sog
 union all select 'positions', 'draught', id from (select id from dr where v <= 0 or v > 25 union select id from dstep join dspikes using (src, i))
 union all select 'market_daily', 'value', id from (select id from va where v <= 0 union select id from va join vsteps on va.src = vsteps.src and cast(va.ts as date) = vsteps.d join vspikes on vspikes.src = vsteps.src and vspikes.i = vsteps.i union select id from ({_runs("va", 10, "")}))"""
 
+_P6_HEAD = _P6[: _P6.index("select 'positions' as tbl, 'sog'")]
+_P6_REASONS = f"""{_P6_HEAD.rstrip()},
+hits as (select 'positions' as tbl, 'sog' as field, id, 1 as c from sog where v < 0 or v > 60
+ union all select 'positions', 'sog', id, 2 from sog join p95 using (src) where v > 2 * lim
+ union all select 'positions', 'sog', id, 3 from ({_runs("sog", 15, "and v >= 2")})
+ union all select 'positions', 'draught', id, 1 from dr where v <= 0 or v > 25
+ union all select 'positions', 'draught', id, 4 from dstep join dspikes using (src, i)
+ union all select 'market_daily', 'value', id, 1 from va where v <= 0
+ union all select 'market_daily', 'value', id, 3 from ({_runs("va", 10, "")})
+ union all select 'market_daily', 'value', id, 4 from va join vsteps on va.src = vsteps.src and cast(va.ts as date) = vsteps.d join vspikes on vspikes.src = vsteps.src and vspikes.i = vsteps.i)
+select tbl, field, id as row_id, case min(c) when 1 then 'impossible' when 2 then 'above_own_range' when 3 then 'stuck' else 'spike' end as reason from hits group by 1, 2, 3"""
+_URLS = """k as (select strftime(cast(try_strptime(DATEADDED, '%Y%m%d%H%M%S') as date), '%Y-%m-%d') as day, case when length(trim(EventRootCode)) < 2 then lpad(trim(EventRootCode), 2, '0') else trim(EventRootCode) end as root, SOURCEURL as u from event_rows where SOURCEURL is not null)"""
+
 ORACLES = {
     "p6_found": _P6,
+    "p6_reasons": _P6_REASONS,
+    "p4_within_bounds": f"""with {_URLS} select 'total' as level, cast(null as varchar) as day, cast(null as varchar) as root, count(distinct u) as n_exact, true as within from k having count(*) > 0
+union all select 'day', day, null, count(distinct u), true from k where day is not null group by 2 union all select 'root', null, root, count(distinct u), true from k where root is not null group by 3
+union all select 'day_root', day, root, count(distinct u), true from k where day is not null and root is not null group by 2, 3""",
     "p2_found": f"""with {_READINGS}
 select life.series_id, strftime(life.d, '%Y-%m-%d') as day from life anti join r on r.series_id = life.series_id and r.d = life.d""",
     "p2_grid": f"""with {_READINGS},
