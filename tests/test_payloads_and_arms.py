@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import api
-from tidegauge.operators import fusion, intervals, market_model
+from tidegauge.operators import fusion, intervals, market_model, raster
 from tidegauge.sources import payloads
 
 
@@ -76,3 +76,42 @@ def test_evaluation_and_lead_times(spark):
 def test_live_titles_are_scored(spark, sf01):
     t = [r for r in api.predict_live(spark, sf01).collect() if r["kind"] == "title"]
     assert len(t) == 5 and [r["value"] for r in t] == sorted((r["value"] for r in t), reverse=True) and all(r["value"] is not None for r in t)
+
+
+def test_chip_requests(spark):
+    d = spark.createDataFrame([((1.0, 2.0, 3.0, 4.0), dt.date(2015, 2, 28))], "box struct<south: double, west: double, north: double, east: double>, day date")
+    body = json.loads(d.select(payloads.chip_request(F.col("box"), F.col("day"), 256)).first()[0])
+    assert body["input"]["bounds"]["bbox"] == [2.0, 1.0, 4.0, 3.0] and body["output"]["width"] == body["output"]["height"] == 256
+    assert body["input"]["data"][0]["dataFilter"]["timeRange"] == {"from": "2015-02-28T00:00:00Z", "to": "2015-03-01T00:00:00Z"} and '["VV", "VH"]'.strip("[]") in body["evalscript"]
+
+
+def test_flood_stops_at_the_coast(spark):
+    box = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0), (2, 0.0, 0.0, 20.0, 20.0)], "chip long, south double, west double, north double, east double")
+    ring = [[5.0, 5.0], [15.0, 5.0], [15.0, 15.0], [5.0, 15.0], [5.0, 5.0]]
+    lines = spark.createDataFrame([(1, ring), (2, [[10.0, -5.0], [10.0, 25.0]]), (2, [[1.0, 1.0]])], "chip long, line array<array<double>>")
+    b = raster.coast_pixels(lines, box, 21, 21)
+    w = {(r["chip"], r["row"], r["col"]): r["water"] for r in raster.flooded(b, 21, 21).collect()}
+    assert len(w) == 2 * 441 and not w[1, 10, 10] and not w[1, 5, 10] and not w[1, 4, 10] and w[1, 2, 10] and w[1, 20, 20]
+    assert w[2, 10, 0] and w[2, 10, 20] and not w[2, 10, 10] and not w[2, 10, 11] and w[2, 10, 12]
+
+
+def test_patch_models_and_pictures(spark):
+    import io
+    import struct
+    import zlib
+
+    px = spark.createDataFrame([(1, r, c, 0.01 + (r == 8 and c == 8), 0.02) for r in range(16) for c in range(16)], "chip long, row int, col int, vv double, vh double")
+    at = spark.createDataFrame([(1, 7, 8.0, 8.0, 3)], "chip long, label int, row double, col double, size_px long")
+    got = raster.score_patches(raster.patches(px, at, 4, 16, 16), 4, lambda x: x[:, :, :, 0].max(axis=(1, 2))).collect()
+    assert [(r["chip"], r["label"]) for r in got] == [(1, 7)] and got[0]["score"] == pytest.approx((10 * np.log10(1.01) + 35) / 40)
+    assert raster.score_patches(raster.patches(px, at.limit(0), 4, 16, 16), 4, lambda x: x[:, 0, 0, 0]).count() == 0
+    for marks, colours in ((None, 1), (at, 2)):
+        raw = io.BytesIO(raster.pictures(px, marks).first()["png"])
+        assert raw.read(8) == b"\x89PNG\r\n\x1a\n"
+        parts = {}
+        while head := raw.read(8):
+            n, kind = struct.unpack(">I4s", head)
+            parts[kind] = raw.read(n)
+            assert struct.unpack(">I", raw.read(4))[0] == zlib.crc32(kind + parts[kind])
+        lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), dtype=np.uint8).reshape(16, 49)[:, 1:].reshape(16, 16, 3)
+        assert (lines == raster.RING).all(axis=2).any() == (colours == 2) and lines[8, 8].tolist() == [round(255 * (25 + 10 * np.log10(1.01)) / 30 - 0.5)] * 3

@@ -62,3 +62,23 @@ def describe(rows: DataFrame, dimension: DataFrame, key: str = "series_id") -> D
     from tidegauge.session import broadcast_if_small
 
     return rows.join(broadcast_if_small(dimension.dropDuplicates([key])), key)
+
+
+# What a chip request asks the imagery service to compute for each pixel.
+BANDS = ("VV", "VH")
+_SCRIPT = """//VERSION=3
+function setup() { return {input: [{bands: [%s]}], output: {bands: %d, sampleType: "FLOAT32"}}; }
+function evaluatePixel(s) { return [%s]; }"""
+EPSG_4326 = "http://www.opengis.net/def/crs/EPSG/0/4326"
+
+
+def chip_request(box: Column, day: Column, side_px: int = 1024, collection: str = "sentinel-1-grd") -> Column:
+    """The JSON body that asks for one square chip of both bands of a box (struct south, west, north, east) on a day (UTC)."""
+    script = _SCRIPT % (", ".join(f'"{b}"' for b in BANDS), len(BANDS), ", ".join(f"s.{b}" for b in BANDS))
+    at = lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    period = F.struct(at(day).alias("from"), at(F.date_add(day, 1)).alias("to"))
+    bounds = F.struct(F.array(box["west"], box["south"], box["east"], box["north"]).alias("bbox"), F.struct(F.lit(EPSG_4326).alias("crs")).alias("properties"))
+    data = F.array(F.struct(F.lit(collection).alias("type"), F.struct(period.alias("timeRange")).alias("dataFilter")))
+    tiff = F.array(F.struct(F.lit("default").alias("identifier"), F.struct(F.lit("image/tiff").alias("type")).alias("format")))
+    output = F.struct(F.lit(side_px).alias("width"), F.lit(side_px).alias("height"), tiff.alias("responses"))
+    return F.to_json(F.struct(F.struct(bounds.alias("bounds"), data.alias("data")).alias("input"), output.alias("output"), F.lit(script).alias("evalscript")))
