@@ -44,8 +44,7 @@ def test_sketch_bounds_and_merging(spark):
     errors = []
     for n in (3, 50, 2_000):
         for _ in range(20):
-            u = sketches.register_hashes(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64), sketches.M).min(axis=0)
-            s = sketches.exponentials(u).sum()
+            s = sketches.registers_of(rng.integers(0, 1 << 63, n, dtype=np.int64), sketches.M).sum()
             lo, hi = sketches.gamma_quantile(sketches.M, 0.005) / s, sketches.gamma_quantile(sketches.M, 0.995) / s
             errors.append((((sketches.M - 1) / s / n - 1), lo <= n <= hi))
     e = np.array([x for x, _ in errors])
@@ -53,6 +52,25 @@ def test_sketch_bounds_and_merging(spark):
     assert np.mean([x for _, x in errors]) >= 0.93
 
 
+def test_registers_are_minima_of_exponentials_of_each_item():
+    """Against drawing every arrival until each register has had one, item by item."""
+    m, rng = 32, np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, 50, dtype=np.int64).view(np.uint64)
+    want = np.full(m, np.inf)
+    for x in h:
+        first, t, k = np.full(m, np.inf), 0.0, 0
+        while np.isinf(first).any():
+            wait, at = sketches.arrivals(np.array([x]), k, 1, m)
+            t, k = t + wait[0, 0], k + 1
+            first[at[0, 0]] = min(first[at[0, 0]], t)
+        want = np.minimum(want, first)
+    np.testing.assert_allclose(sketches.registers_of(h, m), want, rtol=1e-12)
+    halves = np.minimum(sketches.registers_of(h[:20], m), sketches.registers_of(h[10:], m))
+    assert (halves == sketches.registers_of(h, m)).all()  # to the last bit, overlaps and all
+    one = np.concatenate([sketches.registers_of(np.array([x]), 512) for x in h])
+    assert abs(one.mean() - 1) < 0.03 and abs((one > 1).mean() - np.exp(-1)) < 0.02  # Exp(1)
+
+
 def test_sketch_cube_counts_and_cases(spark):
     rows = [("20150301000000", "4", f"u{i % 300}") for i in range(3000)] + [("20150302000000", "04", f"u{i}") for i in range(100)]
     rows += [("bad", "19", "v"), (None, None, "w"), ("20150302000000", None, "x"), ("20150302000000", "19", None)]

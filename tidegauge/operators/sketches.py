@@ -5,6 +5,10 @@ the identifiers seen. Registers of a union are the elementwise minima, so partia
 identifiers change nothing. With n distinct identifiers each register is Exp(n), their sum S is Gamma(m, 1/n):
 (m - 1) / S is an unbiased count of relative error 1 / sqrt(m - 2), and quantiles of Gamma(m, 1) give a confidence interval.
 
+The variates are drawn in rising order: the arrivals of a Poisson process of rate m, seeded by the identifier, fall on registers
+at random, and the first arrival at each of them is Exp(1) and independent of the others. An identifier is done once its
+process has passed the highest register of its group, as nothing later can lower any. With n identifiers seen that takes about m log(m) / n arrivals of the next.
+
 Partials are made in each partition before any shuffle and merged in two steps (salted, then final), so neither a hot group
 nor a long list of partials lands in one task. Only registers move: 8 m bytes for a group and partition.
 """
@@ -24,36 +28,54 @@ M = 512
 #: Groups a partition holds at once before it hands on partial results (32 MB of registers at M = 512).
 HELD = 8_192
 SALTS = 16
-_MASK = (1 << 64) - 1
-
-
-def _seeds(m: int) -> np.ndarray:
-    """Odd 64-bit multipliers of the registers, from a splitmix sequence."""
-    out, s = [], 0x1234_5678_9ABC_DEF1
-    for _ in range(2 * m):
-        s = (s + 0x9E3779B97F4A7C15) & _MASK
-        z = s
-        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK
-        out.append(z ^ (z >> 31))
-    return np.array(out, dtype=np.uint64)
-
-
-def register_hashes(h: np.ndarray, m: int) -> np.ndarray:
-    """The m uniform 64-bit hashes of each 64-bit hash, as a matrix (len(h), m)."""
-    s = _seeds(m)
-    x = h.astype(np.uint64)[:, None] ^ s[None, :m]
-    x ^= x >> np.uint64(32)
-    x *= s[None, m:] | np.uint64(1)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
-
-
-def exponentials(u: np.ndarray) -> np.ndarray:
-    """Exp(1) variates of uniform 64-bit hashes; rising, so the minimum may be taken of the hashes."""
-    return -np.log1p(-(u.astype(np.float64) + 0.5) / 2.0**64 * (1 - 2.0**-53))
+#: Arrivals drawn at once for an identifier: first, and at most; and for all identifiers together.
+FIRST, LARGEST, PART = 4, 256, 1 << 18
+#: Pairs of group and identifier a task gathers before it draws.
+GATHERED = 200_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def arrivals(h: np.ndarray, k: int, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Waiting times and registers, (len(h), n) each, of the arrivals k to k + n of the process of each 64-bit hash."""
+    step = np.arange(k + 1, k + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = _mixed(h[:, None] + step[None, :])
+    u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return -np.log1p(-u) / m, (_mixed(x) % np.uint64(m)).astype(np.int64)
+
+
+def insert(registers: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    """Lower ``registers`` (groups, m) by the identifiers of hashes ``h`` (uint64) in groups ``g``. Arrivals come in parts of fixed sizes, so an
+    identifier's variates are the same to the last bit wherever it is met."""
+    m = registers.shape[1]
+    flat, limit = registers.reshape(-1), registers.max(axis=1)
+    t, k, n = np.zeros(len(h)), 0, FIRST
+    while len(h):
+        part = max(1, PART // n)
+        for a in range(0, len(h), part):
+            own = slice(a, a + part)
+            wait, at = arrivals(h[own], k, n, m)
+            wait[:, 0] += t[own]
+            when = np.cumsum(wait, axis=1)
+            np.minimum.at(flat, (g[own, None] * m + at).ravel(), when.ravel())
+            t[own] = when[:, -1]
+        live = np.unique(g)
+        limit[live] = registers[live].max(axis=1)
+        keep = t < limit[g]
+        g, h, t = g[keep], h[keep], t[keep]
+        k, n = k + n, min(2 * n, LARGEST)
+
+
+def registers_of(h: np.ndarray, m: int) -> np.ndarray:
+    """The registers of a set of 64-bit hashes; infinite for an empty one."""
+    out = np.full((1, m), np.inf)
+    insert(out, np.zeros(len(h), dtype=np.int64), np.unique(h.view(np.uint64)))
+    return out[0]
 
 
 def gamma_quantile(m: int, p: float) -> float:
@@ -82,26 +104,35 @@ def partials(df: DataFrame, keys: list[str], item: Column, m: int = M) -> DataFr
     types = d.select(*keys).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+        number: dict[tuple, int] = {}
+        low = np.full((16, m), np.inf)
+        waiting: list[np.ndarray] = []
+
+        def draw() -> None:
+            pairs = np.unique(np.concatenate(waiting, axis=1), axis=1)  # many rows an item
+            insert(low, pairs[0], pairs[1].view(np.uint64))
+            waiting.clear()
+
         for b in batches:
             t = pa.Table.from_batches([b])
             if not t.num_rows:
                 continue
             inv, names = _group_ids(t, keys)
-            pairs = np.unique(np.stack([inv.astype(np.int64), t.column("__h").to_numpy()]), axis=1)  # many rows an item
-            for a in range(0, pairs.shape[1], 4_096):
-                g, h = pairs[0, a : a + 4_096], pairs[1, a : a + 4_096]
-                x = register_hashes(h.view(np.uint64), m)
-                cut = np.r_[0, np.flatnonzero(np.diff(g)) + 1]
-                low = np.minimum.reduceat(x, cut, axis=0)
-                for k, r in zip(g[cut].tolist(), low):
-                    own = held.get(names[k])
-                    held[names[k]] = r.copy() if own is None else np.minimum(own, r)
-            if len(held) > HELD:
-                yield _batch(held, keys, schema)
-                held = {}
-        if held:
-            yield _batch(held, keys, schema)
+            own = np.array([number.setdefault(k, len(number)) for k in names], dtype=np.int64)
+            if len(number) > len(low):
+                low = np.concatenate([low, np.full((max(len(low), len(number) - len(low)), m), np.inf)])
+            waiting.append(np.stack([own[inv], t.column("__h").to_numpy()]))
+            if sum(w.shape[1] for w in waiting) > GATHERED:
+                draw()
+            if len(number) > HELD:
+                if waiting:
+                    draw()
+                yield _batch(dict(zip(number, low)), keys, schema)
+                number, low = {}, np.full((16, m), np.inf)
+        if waiting:
+            draw()
+        if number:
+            yield _batch(dict(zip(number, low)), keys, schema)
 
     schema = _arrow(types)
     return d.mapInArrow(run, f"{kinds}, registers binary")
@@ -129,7 +160,7 @@ def _merge_step(df: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
             done: dict[tuple, np.ndarray] = {}
             cols = [b.column(k).to_pylist() for k in keys]
             for i, raw in enumerate(b.column("registers").to_pylist()):
-                k, r = tuple(c[i] for c in cols), np.frombuffer(raw, dtype=np.uint64)
+                k, r = tuple(c[i] for c in cols), np.frombuffer(raw, dtype=np.float64)
                 if k == cur:
                     low = np.minimum(low, r)
                 else:
@@ -157,7 +188,7 @@ def estimates(df: DataFrame, confidence: float = 0.99) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.array([exponentials(np.frombuffer(r, dtype=np.uint64)).sum() for r in b.column("registers").to_pylist()])
+            s = np.array([np.frombuffer(r, dtype=np.float64).sum() for r in b.column("registers").to_pylist()])
             m = len(b.column("registers")[0].as_py()) // 8 if b.num_rows else M
             arrays = [b.column(k) for k in keys] + [pa.array(x) for x in ((m - 1) / s, gamma_quantile(m, tail) / s, gamma_quantile(m, 1 - tail) / s)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "estimate", "low", "high"])
