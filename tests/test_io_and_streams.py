@@ -206,6 +206,20 @@ def test_dag():
     assert dag.state(st[1], {"i": 5.0}.get, {"x": 6.0}.get) == "fresh" and dag.state(st[1], {}.get, {}.get) == "missing-input"
 
 
+def test_bound_stages(spark, sf01, tmp_path, monkeypatch):
+    from tidegauge.operators import fusion
+    from tidegauge.plans import pipeline
+
+    out = f"file://{tmp_path}"
+    assert {x for _, x in pipeline.run(spark, sf01, out)} == {"ran"}
+    assert spark.read.parquet(f"{out}/panel").count() > 0 and spark.read.parquet(f"{out}/backtest").count() == 5
+    assert {x for _, x in pipeline.run(spark, sf01, out)} == {"fresh"}
+    assert dict(pipeline.run(spark, sf01, out, ["slugs"])) == {"events": "fresh", "slugs": "fresh"}
+    monkeypatch.setattr(fusion, "leakage", lambda p: p.limit(2))  # a gate that finds something stops the run
+    log = pipeline.run(spark, sf01, out, ["events", "market", "chips", "leakage", "market_scores"], force=True)
+    assert log[-1] == ("leakage", "gate failed: 2 rows of leakage")
+
+
 def test_registry_and_service(spark, sf01):
     assert semantic.resolve("sar_vessels_x") == "sar_vessels_<port>" and semantic.resolve("sar_vessels_") is None
     assert api.semantic_audit(spark, sf01).filter("not defined").count() == 0

@@ -32,6 +32,12 @@ def slug_words(url: Column, least: int = 4) -> Column:
     return F.when(url.isNotNull(), F.lower(F.array_join(pick, " ")))
 
 
+def root_code(code: Column) -> Column:
+    """Event root codes of two digits or more: a leading zero where there is one digit, no blanks."""
+    c = F.trim(code)
+    return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
+
+
 def word_count(text: Column) -> Column:
     """Blanks plus one."""
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1

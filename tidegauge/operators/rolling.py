@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalar import root_code
 from tidegauge.operators.blocks import whole_groups
 
 
@@ -121,7 +122,7 @@ def events(df: DataFrame, run_out: bool = False) -> DataFrame:
     day = F.to_date(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")))
     group = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("entity"))
     measure = lambda c: F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
-    groups = F.array(group("root", F.lpad(F.trim("EventRootCode"), 2, "0")), group("country", F.col("ActionGeo_CountryCode")))
+    groups = F.array(group("root", root_code(F.col("EventRootCode"))), group("country", F.col("ActionGeo_CountryCode")))
     d = df.select(day.alias("d"), F.explode(groups).alias("g"), "GoldsteinScale", "AvgTone").filter("d is not null and g.entity is not null")
     d = d.select("d", "g", F.explode(F.array(measure("GoldsteinScale"), measure("AvgTone"))).alias("m")).select("d", "g.*", "m.*")
     return trailing(d, ["kind", "entity", "measure"], F.col("d"), F.col("value"), run_out=run_out)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalar import root_code
+
 #: Registers: relative standard error 1 / sqrt(m - 2) = 4.4 %.
 M = 512
 #: Groups a partition holds at once before it hands on partial results (32 MB of registers at M = 512).
@@ -200,7 +202,7 @@ def estimates(df: DataFrame, confidence: float = 0.99) -> DataFrame:
 def event_keys(events: DataFrame) -> DataFrame:
     """``events`` with ``day`` (of DATEADDED, null if unreadable) and ``root`` (two digits or more, null if none)."""
     day = F.to_date(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")))
-    return events.select(F.date_format(day, "yyyy-MM-dd").alias("day"), F.when(F.length(F.trim("EventRootCode")) < 2, F.lpad(F.trim("EventRootCode"), 2, "0")).otherwise(F.trim("EventRootCode")).alias("root"), "SOURCEURL")
+    return events.select(F.date_format(day, "yyyy-MM-dd").alias("day"), root_code(F.col("EventRootCode")).alias("root"), "SOURCEURL")
 
 
 def distinct_cube(events: DataFrame, m: int = M) -> DataFrame:

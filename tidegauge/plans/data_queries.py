@@ -126,7 +126,7 @@ window w7 as (partition by {keys} order by d rows between 6 preceding and curren
 
 
 _EVENT_GROUPS = """with_day as (
-  select cast(try_strptime(DATEADDED, '%Y%m%d%H%M%S') as date) as d, lpad(trim(EventRootCode), 2, '0') as root, ActionGeo_CountryCode as country,
+  select cast(try_strptime(DATEADDED, '%Y%m%d%H%M%S') as date) as d, case when length(trim(EventRootCode)) < 2 then lpad(trim(EventRootCode), 2, '0') else trim(EventRootCode) end as root, ActionGeo_CountryCode as country,
          GoldsteinScale, AvgTone from event_rows),
 groups as (select d, 'root' as kind, root as entity, GoldsteinScale, AvgTone from with_day union all
            select d, 'country', country, GoldsteinScale, AvgTone from with_day)

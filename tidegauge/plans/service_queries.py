@@ -12,7 +12,7 @@ from tidegauge import api
 from tidegauge.operators import aggregates, fusion, intervals, market_model, planning, text_features
 from tidegauge.operators import events as ev
 from tidegauge.plans import core_queries as q
-from tidegauge.plans import semantic
+from tidegauge.plans import pipeline, semantic
 from tidegauge.session import run_dir, table
 from tidegauge.sources import payloads
 from tidegauge.streaming import slots
@@ -71,6 +71,13 @@ def recent_titles(spark, d):
     return api.recent_titles(spark, d)
 
 
+@query("""select cast(row_number() over () - 1 as integer) as position, stage, 'ran' as outcome from (values ('events'), ('market'), ('chips'), ('detections'), ('slugs'), ('panel'), ('leakage'), ('market_scores'), ('evaluation'), ('folds'), ('risk'), ('backtest')) v(stage)""")
+def pipeline_run(spark, d):
+    """Every stage into a fresh folder, gates and all."""
+    log = pipeline.run(spark, d, f"{run_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(log)], "position int, stage string, outcome string")
+
+
 @query(f"""with {q._SPREAD}, s as (select date, spread, spread - lag(spread, 7) over (order by date) as c from sp where spread is not null), l as (select max(date) as d, last(spread order by date) as v from s)
 select (select d from l) as as_of, round((select v from l), 4) + 0.0 as value, round(avg(case when spread < (select v from l) then 100.0 else 0.0 end), 4) + 0.0 as percentile, round(last(c order by date), 4) + 0.0 as change_7 from s""")
 def brief_facts(spark, d):
