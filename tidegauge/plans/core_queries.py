@@ -236,7 +236,7 @@ def feature_panel(spark, d):
 select date, round(brent, 4) + 0.0 as brent, round(wti, 4) + 0.0 as wti, round(gas, 4) + 0.0 as gas, round(spread, 4) + 0.0 as brent_wti_spread, round(r1, 4) + 0.0 as brent_ret_1d, round(r7, 4) + 0.0 as brent_ret_7d, round(c7, 4) + 0.0 as spread_chg_7d,
  round(case when spread is not null and count(spread) over w252 >= 60 then (spread - avg(spread) over w252) / nullif(stddev_samp(spread) over w252, 0) end, 4) + 0.0 as spread_z,
  round(case when spread is not null and count(spread) over w10 >= 5 then avg(spread) over w10 end, 6) + 0.0 as spread_smooth_10d,
- case when spread is not null and count(*) over w30 >= 10 then sum(case when spread > 15 then 1.0 else 0.0 end) over w30 end as spread_days_gt15_30d,
+ case when spread is not null and count(*) over w30 >= 10 then cast(sum(case when spread > 15 then 1.0 else 0.0 end) over w30 as double) end as spread_days_gt15_30d,
  round(case when r1 is not null and count(r1) over w7 >= 3 then stddev_samp(r1) over w7 end, 4) + 0.0 as brent_vol_7d
 from x window w252 as (order by date rows between 251 preceding and current row), w10 as (order by date rows between 9 preceding and current row), w30 as (order by date rows between 29 preceding and current row), w7 as (order by date rows between 6 preceding and current row)""")
 def market_features(spark, d):
@@ -563,15 +563,24 @@ def box_sum_25(spark, d):
     return raster.box_sum(chips(spark, d), {"vv": "box"}, 12).select("chip", "row", "col", (F.round("box", 7) + 0.0).alias("box"))
 
 
-@query(f"""with {_CHIPS}, q as (select *, case when vv > 0 then 1.0 else 0.0 end as n, vv * vv as q from chips),
+def _hits(k: float) -> str:
+    """Pixels (chip, r, c) brighter than their ring by k standard deviations."""
+    return f"""{_CHIPS}, q as (select *, case when vv > 0 then 1.0 else 0.0 end as n, vv * vv as q from chips),
 {_boxes("q", "n", "no", 12)}, {_boxes("q", "vv", "xo", 12)}, {_boxes("q", "q", "qo", 12)}, {_boxes("q", "n", "ni", 4)}, {_boxes("q", "vv", "xi", 4)}, {_boxes("q", "q", "qi", 4)},
-j as (select chips.*, no.s - ni.s as n, xo.s - xi.s as x, qo.s - qi.s as q from chips join no using (chip, r, c) join xo using (chip, r, c) join qo using (chip, r, c) join ni using (chip, r, c) join xi using (chip, r, c) join qi using (chip, r, c))
-select chip, r as "row", c as col from j where vv > 0 and n > (625 - 81) * 0.3 and vv > x / n + 3 * sqrt(greatest(q / n - (x / n) * (x / n), 0))""")
+j as (select chips.*, no.s - ni.s as n, xo.s - xi.s as x, qo.s - qi.s as q from chips join no using (chip, r, c) join xo using (chip, r, c) join qo using (chip, r, c) join ni using (chip, r, c) join xi using (chip, r, c) join qi using (chip, r, c)),
+hits as (select chip, r, c from j where vv > 0 and n > (625 - 81) * 0.3 and vv > x / n + {k} * sqrt(greatest(q / n - (x / n) * (x / n), 0)))"""
+
+
+@query(f"""with {_hits(3)} select chip, r as "row", c as col from hits""")
 def cfar_mask(spark, d):
     return raster.cfar(chips(spark, d), k=3.0).filter("hit").select("chip", "row", "col")
 
 
-@query()
+# connected pixels: each reaches the others of its object, whose first pixel in reading order names it
+@query(f"""with recursive {_hits(2.0)}, reach as (select chip, r, c, r * 64 + c as first from hits union select h.chip, h.r, h.c, first from reach join hits h on h.chip = reach.chip and abs(h.r - reach.r) + abs(h.c - reach.c) = 1),
+own as (select chip, r, c, min(first) as first from reach group by 1, 2, 3), o as (select chip, first, count(*) as n, min(r) as ra, max(r) as rb, min(c) as ca, max(c) as cb from own group by 1, 2)
+select chip, cast(dense_rank() over (partition by chip order by first) as integer) as label, n as size_px, cast(ra + rb as double) / 2 as "row", cast(ca + cb as double) / 2 as col, cast(rb - ra + 1 as integer) as height_px, cast(cb - ca + 1 as integer) as width_px,
+ cast(greatest(rb - ra, cb - ca) + 1 as double) / (least(rb - ra, cb - ca) + 1) as elongation from o where n <= 400""")
 def object_boxes(spark, d):
     return raster.objects(raster.cfar(chips(spark, d), k=2.0), least=1)
 
