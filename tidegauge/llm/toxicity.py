@@ -33,7 +33,7 @@ from tidegauge.session import written
 
 #: Bounds of the training sample: flagged and other labelled documents, which are read whole.
 MAX_FLAGGED, MAX_OTHER = 3_000, 12_000
-MAX_TRAIN_TOTAL = 60_000_000  # code points of the whole texts of either kind
+MAX_TRAIN_TOTAL = 12_000_000  # code points of the whole texts of either kind; the driver holds them and their word n-grams
 BITS, LONGEST = 18, 48
 THRESHOLD = 0.4
 FOLDS, EXAMPLE_WEIGHT = 2, 3
